@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, language_mix, lsh_forest, topk, toxicity
+from . import bpe, chat, decontam, html_text, language_mix, license_scan, lsh_forest, passages, topk, toxicity
 from .common import cut, remainder, table
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(table(spark, sf_dir, "documents"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_mix.fit(docs.where(remainder("doc_id", 4) != 2))
@@ -58,6 +70,6 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op5_exact_top_k, op6_byte_bpe, op7_chat_formatting, op8_toxicity, op9_decontamination, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_language_id, op3_substring_dedup, op4_license_scan, op5_exact_top_k, op6_byte_bpe, op7_chat_formatting, op8_toxicity, op9_decontamination, op10_minhash_near_dedup)}
 
 ORACLES: dict[str, str] = {}
