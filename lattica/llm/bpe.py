@@ -13,6 +13,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-PACK = 32_000_000  # characters whose pieces are told apart together
-SAMPLE, CACHE = 8_000, 400_000  # documents looked at for frequent pieces; most pieces folded ahead
+PACK = 8_000_000  # characters whose pieces are told apart together
+SAMPLE, CACHE = 24_000, 300_000  # documents looked at for frequent pieces; most pieces folded ahead
 FOLDED = 40  # bytes of the longest piece that the fold takes; it is quadratic, merge_long isn't
 BITS = 20  # of a token id
 MASK, NONE = (1 << BITS) - 1, 1 << BITS
@@ -163,29 +165,37 @@ def _to_fold(raw: bytes, ranks: dict[bytes, int]) -> bool:
 
 def _pieces_to_fold(pattern: str, held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, found = regex.compile(pattern).findall, set()
+        find, found = regex.compile(pattern).findall, Counter()
         for batch in batches:
             for text in batch.column("text"):
-                found.update(find(text.as_py() or ""))
-        raw = sorted(x for x in (p.encode() for p in found) if _to_fold(x, held.value))
-        yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), pa.array([[list(x)] for x in raw], pa.list_(pa.list_(pa.int32())))], names=["piece", "pieces"])
+                found.update(set(find(text.as_py() or "")))
+        raw = [(x, n) for x, n in ((p.encode(), n) for p, n in found.items()) if _to_fold(x, held.value)]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in raw], pa.binary()), pa.array([n for _, n in raw], pa.int64())], names=["piece", "n"])
 
     return run
 
 
-def folded_ahead(docs: DataFrame, ranks: dict[bytes, int], pattern: str, held) -> dict[bytes, list[int]]:
-    """Ids of pieces of about SAMPLE documents, at most CACHE pieces: each is folded once here
-    instead of once in every task. What a task doesn't find here it folds itself."""
+def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("piece"), pa.array([[list(x)] for x in batch.column("piece").to_pylist()], pa.list_(pa.list_(pa.int32())))], names=["piece", "pieces"])
+
+
+def folded_ahead(docs: DataFrame, ranks: dict[bytes, int], pattern: str, held) -> dict[bytes, bytes]:
+    """Packed ids of the pieces that most of about SAMPLE documents have, CACHE pieces at
+    most: each is folded once here instead of once in every task. What a task doesn't find
+    here it folds itself."""
     share = min(1.0, SAMPLE / max(1, docs.count()))
     sample = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
-    pieces = sample.mapInArrow(_pieces_to_fold(pattern, held), "piece binary, pieces array<array<int>>").dropDuplicates(["piece"]).limit(CACHE)
-    rows = cut(pieces.repartition("piece")).select("piece", folded_ids("pieces", ranks)[0].alias("ids")).toArrow()
-    return dict(zip(rows["piece"].to_pylist(), rows["ids"].to_pylist(), strict=True))
+    counted = sample.mapInArrow(_pieces_to_fold(pattern, held), "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    pieces = cut(counted.where("n > 1").orderBy(F.desc("n"), "piece").limit(CACHE).select("piece").repartition("piece"))
+    rows = pieces.mapInArrow(_as_bytes, "piece binary, pieces array<array<int>>").select("piece", folded_ids("pieces", ranks)[0].alias("ids")).toArrow()
+    return {p: np.asarray(ids, "<u4").tobytes() for p, ids in zip(rows["piece"].to_pylist(), rows["ids"].to_pylist(), strict=True)}
 
 
 def _packed(pattern: str, held, ahead):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, ranks, cached = regex.compile(pattern).findall, held.value, ahead.value
+        pack_one = struct.Struct("<I").pack
         docs, counts, runs, numbers, chars = [], [], [], _Numbers(), 0
 
         def pack() -> pa.RecordBatch:
@@ -193,17 +203,17 @@ def _packed(pattern: str, held, ahead):
             for i, piece in enumerate(numbers):
                 raw = piece.encode()
                 whole = ranks.get(raw)
-                ids = [whole] if whole is not None else merge_long(raw, ranks) if len(raw) > FOLDED else cached.get(raw)
+                ids = pack_one(whole) if whole is not None else np.asarray(merge_long(raw, ranks), "<u4").tobytes() if len(raw) > FOLDED else cached.get(raw)
                 if ids is None:
                     at_folded.append(i), bytes_of.append(raw)
                 else:
-                    at_known.append(i), known.extend(ids), n_known.append(len(ids))
+                    at_known.append(i), known.append(ids), n_known.append(len(ids) // 4)
             starts = np.concatenate([[0], np.cumsum([len(x) for x in bytes_of])]).astype(np.int32)
             pieces = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(b"".join(bytes_of), np.uint8).astype(np.int32)))
             as_row = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             packed = lambda x: pa.array([np.asarray(x, np.uint32).tobytes()], pa.binary())
             return pa.RecordBatch.from_arrays(
-                [as_row(pa.array(docs, pa.int64())), packed(counts), pa.array([b"".join(runs)], pa.binary()), as_row(pieces), packed(at_folded), packed(at_known), packed(known), packed(n_known)],
+                [as_row(pa.array(docs, pa.int64())), packed(counts), pa.array([b"".join(runs)], pa.binary()), as_row(pieces), packed(at_folded), packed(at_known), pa.array([b"".join(known)], pa.binary()), packed(n_known)],
                 names=["docs", "counts", "runs", "pieces", "at_folded", "at_known", "known", "n_known"],
             )
 
