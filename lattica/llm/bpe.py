@@ -78,7 +78,7 @@ class PairTable:
         def probe(side: int, other) -> Column:
             m1, m2 = self.FACTORS[side]
             entry = F.get(table, ((a * m1 + b * m2) % self.size).cast("int"))
-            return _let(entry, lambda e: F.when(F.shiftright(e, BITS) == a * (1 << BITS) + b, e.bitwiseAND(F.lit(MASK))).otherwise(other))
+            return F.when(F.shiftright(entry, BITS) == a * (1 << BITS) + b, entry.bitwiseAND(F.lit(MASK))).otherwise(other)
 
         return probe(0, probe(1, F.lit(NONE)))
 
@@ -101,7 +101,14 @@ def folded_ids(pieces: str, ranks: dict[bytes, int]) -> Column:
     next merge, and only two entries change. The first entry is no token and merges with none.
     """
     pairs = PairTable(merge_pairs(ranks))
-    of_byte = _literal(np.array([ranks[bytes([i])] for i in range(256)], np.int64))
+    byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+    alone = (NONE << BITS) + byte_ids
+    two = np.repeat(alone, 256)  # the first entries are looked up by their two bytes at once
+    for x in range(256):
+        for y in range(256):
+            if (r := ranks.get(bytes([x, y]))) is not None:
+                two[256 * x + y] = (r << BITS) + byte_ids[x]
+    pair, last = _literal(two), _literal(alone)
     guard = F.lit((NONE << BITS) + MASK)
 
     def low(x: Column) -> Column:
@@ -113,14 +120,18 @@ def folded_ids(pieces: str, ranks: dict[bytes, int]) -> Column:
 
         def merge(state: Column, least: Column) -> Column:
             new = F.shiftright(least, BITS)
-            at = lambda p: F.concat(F.slice(state, F.lit(1), p - 2), F.array(_let(low(F.get(state, p - 2)), lambda a: entry(a, new)), entry(new, low(F.get(state, p + 1)))), F.slice(state, p + 2, F.size(state)))
+
+            def at(p: Column) -> Column:  # the place after the merged token's left part, from 0
+                changed = lambda x, i: F.when(i == p - 2, entry(low(x), new)).when(i == p - 1, entry(new, low(F.get(state, p + 1)))).otherwise(x)
+                return F.transform(F.filter(state, lambda x, i: i != p), changed)
+
             return _let(F.array_position(state, least).cast("int"), at)
 
         def step(state: Column, _: Column) -> Column:
             return _let(F.array_min(state), lambda least: F.when(least >= NONE << BITS, state).otherwise(merge(state, least)))
 
-        start = lambda ids: F.concat(F.array(guard), F.zip_with(ids, F.slice(ids, F.lit(2), F.greatest(F.size(ids) - 1, F.lit(0))), entry))
-        first = _let(F.transform(piece, lambda x: F.get(of_byte, x)), start)
+        start = lambda x, y: F.when(y.isNull(), F.get(last, x)).otherwise(F.get(pair, x * 256 + y))
+        first = F.concat(F.array(guard), F.zip_with(piece, F.slice(piece, F.lit(2), F.greatest(F.size(piece) - 1, F.lit(0))), start))
         return F.aggregate(piece, first, step, lambda state: F.transform(F.slice(state, F.lit(2), F.size(state)), lambda x: low(x).cast("int")))
 
     return _let(_literal(pairs.table), lambda table: F.transform(pieces, lambda piece: fold(piece, table)))
