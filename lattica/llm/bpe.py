@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-PACK = 8_000_000  # characters whose pieces are told apart together
-SAMPLE, CACHE = 24_000, 300_000  # documents looked at for frequent pieces; most pieces folded ahead
+PACK = 11_000_000  # characters whose pieces are told apart together
+SAMPLE, CACHE = 20_000, 300_000  # documents looked at for frequent pieces; most pieces folded ahead
 FOLDED = 40  # bytes of the longest piece that the fold takes; it is quadratic, merge_long isn't
 BITS = 20  # of a token id
 MASK, NONE = (1 << BITS) - 1, 1 << BITS
@@ -132,7 +132,7 @@ def folded_ids(pieces: str, ranks: dict[bytes, int]) -> Column:
 
         start = lambda x, y: F.when(y.isNull(), F.get(last, x)).otherwise(F.get(pair, x * 256 + y))
         first = F.concat(F.array(guard), F.zip_with(piece, F.slice(piece, F.lit(2), F.greatest(F.size(piece) - 1, F.lit(0))), start))
-        return F.aggregate(piece, first, step, lambda state: F.transform(F.slice(state, F.lit(2), F.size(state)), lambda x: low(x).cast("int")))
+        return F.aggregate(F.slice(piece, F.lit(2), F.size(piece)), first, step, lambda state: F.transform(F.slice(state, F.lit(2), F.size(state)), lambda x: low(x).cast("int")))
 
     return _let(_literal(pairs.table), lambda table: F.transform(pieces, lambda piece: fold(piece, table)))
 
