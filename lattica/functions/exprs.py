@@ -62,29 +62,38 @@ def unpack4(byte: Column) -> tuple[Column, Column]:
     return sign(F.shiftright(byte.cast("int"), 4).bitwiseAND(F.lit(15))), sign(byte.cast("int").bitwiseAND(F.lit(15)))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate value once and name it: body(value) without repeating its expression."""
+    return F.transform(F.array(value), body)[0]
+
+
 def unpack_bits(payload: Column, bits: int) -> Column:
     """Big-endian signed bit fields of a binary -> array<int>. Spare bits at the end are dropped."""
-    text = F.hex(payload)
-    n = F.floor(F.length(text) * 4 / bits).cast("int")
+    size = -(-(bits + 3) // 4)  # hex digits that hold any field
 
-    def field(i: Column) -> Column:
+    def field(text: Column, i: Column) -> Column:
         first = i * bits
-        start = F.floor(first / 4).cast("int")
-        size = -(-(bits + 3) // 4)
-        digits = F.rpad(F.substr(text, start + 1, F.lit(size)), size, "0")
-        raw = F.shiftrightunsigned(F.conv(digits, 16, 10).cast("long"), (size * 4 - bits)) if bits % 4 == 0 else F.floor(F.conv(digits, 16, 10).cast("long") / F.pow(F.lit(2.0), F.lit(size * 4 - bits) - (first % 4))).cast("long")
-        raw = F.pmod(raw, F.lit(1 << bits))
-        return F.when(raw >= 1 << (bits - 1), raw - (1 << bits)).otherwise(raw).cast("int")
+        digits = F.rpad(F.substr(text, F.floor(first / 4).cast("int") + 1, F.lit(size)), size, "0")
+        whole = F.floor(F.conv(digits, 16, 10).cast("long") / F.pow(F.lit(2.0), F.lit(size * 4 - bits) - first % 4)).cast("long")
+        return let(F.pmod(whole, F.lit(1 << bits)), lambda raw: F.when(raw >= 1 << (bits - 1), raw - (1 << bits)).otherwise(raw).cast("int"))
+
+    def fields(text: Column) -> Column:
+        n = F.floor(F.length(text) * 4 / bits).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: field(text, i))).otherwise(F.array().cast("array<int>"))
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), field)).otherwise(F.array().cast("array<int>"))
+    return let(F.hex(payload), fields)
 
 
 def pack_bits(values: Column, bits: int) -> Column:
     """array<int> -> binary of big-endian bit fields; the bits must fill whole bytes."""
+
+    def octets(ones: Column) -> Column:
+        n = F.floor(F.length(ones) / 8).cast("int")
+        digits = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.lpad(F.conv(F.substr(ones, i * 8 + 1, F.lit(8)), 2, 16), 2, "0"))
+        return F.when(F.length(ones) % 8 != 0, F.raise_error(F.lit("the packed bits don't fill whole bytes")).cast("string")).when(n > 0, F.array_join(digits, "")).otherwise(F.lit(""))
+
     ones = F.array_join(F.transform(values, lambda v: F.lpad(F.conv(F.pmod(v.cast("long"), F.lit(1 << bits)).cast("string"), 10, 2), bits, "0")), "")
-    whole = F.when(F.length(ones) % 8 == 0, ones).otherwise(F.raise_error(F.lit("the packed bits don't fill whole bytes")))
-    octets = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.length(whole) / 8).cast("int") - 1, F.lit(0))), lambda i: F.lpad(F.conv(F.substr(whole, i * 8 + 1, F.lit(8)), 2, 16), 2, "0"))
-    return F.unhex(F.when(F.length(whole) > 0, F.array_join(octets, "")).otherwise(F.lit("")))
+    return F.unhex(let(ones, octets))
 
 
 def cmul(a: tuple[Column, Column], b: tuple[Column, Column]) -> tuple[Column, Column]:
