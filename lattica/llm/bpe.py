@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 PACK = 11_000_000  # characters whose pieces are told apart together
 SAMPLE, CACHE = 20_000, 300_000  # documents looked at for frequent pieces; most pieces folded ahead
@@ -286,6 +286,7 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> Dat
     empty texts have no tokens and the digest of nothing. Null doc_ids and repeated rows
     pass through; other columns are ignored. The rank map must hold all 256 single bytes.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(ranks)
     ahead = docs.sparkSession.sparkContext.broadcast(folded_ahead(docs, ranks, pattern, held))
     packs = docs.select("doc_id", "text").mapInArrow(_packed(pattern, held, ahead), _PACK)

@@ -26,6 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers BATCH_ROWS at a time, unless the session asks for fewer: a
+    worker's memory then doesn't follow the size of a partition. Results don't depend on it."""
+    if int(spark.conf.get(BATCH_KEY, "10000")) > BATCH_ROWS:
+        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends there, and a
     lost executor costs a file read, not the stages before it."""
@@ -43,7 +53,7 @@ def remainder(column: str, n: int):
 class WordHash(dict):
     """Word bytes -> 64-bit hash, cached; emptied before it grows past `limit` words."""
 
-    limit = 500_000
+    limit = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > self.limit:

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 Q = 8
 LEAST = 20  # normalised characters of the shortest item looked for
 BLOCK = 4_000_000  # characters of items that are broadcast at once
@@ -73,9 +75,11 @@ class Index:
         k = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
         ok = self.keys[k] == found
         at, k = at[ok], k[ok]
+        if not len(k):
+            return []
         counts: list[tuple[np.ndarray, np.ndarray]] = []
         total = np.cumsum(self.count[k])
-        cuts = np.searchsorted(total, np.arange(0, total[-1] if len(total) else 0, 4_000_000))
+        cuts = np.searchsorted(total, np.arange(0, total[-1], 4_000_000))
         for a, b in zip(cuts, [*cuts[1:], len(k)], strict=True):  # bounded memory, also where grams repeat in many items
             n = self.count[k[a:b]]
             hit = np.repeat(self.start[k[a:b]] - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -84,8 +88,6 @@ class Index:
             item = self.item[hit]
             cell = (place - starts[text] - self.place[hit] + self.size[item]) // self.width[item]
             counts.append(np.unique((text * len(self.items) + item) * (1 << 28) + cell, return_counts=True))
-        if not counts:
-            return []
         key, where = np.unique(np.concatenate([x[0] for x in counts]), return_inverse=True)
         n = np.bincount(where, np.concatenate([x[1] for x in counts])).astype(np.int64)
         pair, cell = key >> 28, key & ((1 << 28) - 1)
@@ -173,6 +175,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = 0.1) -> D
     own. Items under LEAST normalised characters, null texts and null ids give no rows;
     documents without such a passage have none. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]

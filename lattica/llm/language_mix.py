@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import mix, small_batches
 
 BUCKETS = 1 << 15  # hashed n-grams for each order
 ORDERS = 3
@@ -150,5 +150,6 @@ def identify(docs: DataFrame, model: Model, penalty: float = 2.0) -> DataFrame:
     one without letters, or a model without languages gives 'und', score 0 and an empty
     mixture. Null doc_ids and repeated rows pass through; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select("doc_id", "text").mapInPandas(_predict(held, penalty), "doc_id long, lang_pred string, score double, mixture array<struct<lang:string,share:double>>")

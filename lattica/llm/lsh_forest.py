@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, cut, mix, shingle_hashes, to_long, word_hashes
+from .common import WordHash, cut, mix, shingle_hashes, small_batches, to_long, word_hashes
 from .components import components
 
 TREES, DEPTH, LEAST = 16, 6, 3  # signature layout; shortest common prefix of candidates
@@ -81,15 +81,17 @@ def _tree_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 _KEYS = ["tree", "head", *(f"t{i}" for i in range(DEPTH - LEAST)), "doc_id"]
+_TREE_SCHEMA = ", ".join(f"{k} {'int' if k == 'tree' else 'long'}" for k in _KEYS)
 
 
-def _neighbours(rows: np.ndarray) -> np.ndarray:
-    """Pairs (i, j), j < i, of row numbers: neighbours in the sorted order.
+def _neighbours(rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Pairs (i, j) of row numbers: neighbours in the sorted order.
 
-    rows: the sort keys without doc_id. Within REGION rows of each other, two rows are
+    rows: the sort keys without doc_id, sorted with ids. Within REGION rows of each other, two rows are
     candidates if they share the shortest prefix whose region holds at most REGION rows.
     Regions crowded at every depth pair each row with the two before it. Each row is also
-    paired with the one just before it and with the first of its LEAST-deep region.
+    paired with the one just before it and, at each depth, with the smallest id of its
+    region: copies tend to follow what they are copied from, and may be alike to it alone.
     """
     n = len(rows)
     if n < 2:
@@ -97,9 +99,11 @@ def _neighbours(rows: np.ndarray) -> np.ndarray:
     same = np.logical_and.accumulate(np.column_stack([(rows[1:, :2] == rows[:-1, :2]).all(axis=1), rows[1:, 2:] == rows[:-1, 2:]]), axis=1)
     run = [np.concatenate([[0], np.cumsum(~same[:, d])]) for d in range(same.shape[1])]  # the region of each row, by depth
     small = [np.bincount(r)[r] <= REGION for r in run]
-    first = np.concatenate([[0], np.flatnonzero(~same[:, 0]) + 1])[run[0]]
-    at = np.arange(n)
-    out = [np.column_stack([at, first])[first < at]]
+    at, out = np.arange(n), []
+    for r in run:
+        by_id = np.lexsort((ids, r))
+        least = by_id[np.searchsorted(r[by_id], np.arange(r[-1] + 1))][r]
+        out.append(np.column_stack([at, least])[least != at])
     for lag in range(1, min(REGION, n)):
         i, j = at[lag:], at[:-lag]
         ok = run[0][i] == run[0][j] if lag == 1 else (run[-1][i] == run[-1][j] if lag == 2 else np.zeros(n - lag, bool))
@@ -116,25 +120,29 @@ def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return
     at = pd.concat(parts, ignore_index=True)
     keys, ids = at[_KEYS[:-1]].to_numpy(np.int64), at["doc_id"].to_numpy(np.int64)
-    got = _neighbours(keys)
+    got = _neighbours(keys, ids)
     a, b = ids[got[:, 0]], ids[got[:, 1]]
     yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)} | {k: None for k in _KEYS}).astype({k: "Int64" for k in _KEYS}) if len(got) else pd.DataFrame(columns=["a", "b", *_KEYS])
     for edge, side in ((keys[0], slice(None, REGION)), (keys[-1], slice(-REGION, None))):
-        seam = at.iloc[side]
-        seam = seam[(seam[["tree", "head"]].to_numpy(np.int64) == edge[:2]).all(axis=1)]
+        inside = (keys[:, :2] == edge[:2]).all(axis=1)
+        seam = at[inside]
+        seam = pd.concat([seam.iloc[side], seam.iloc[[int(ids[inside].argmin())]]])
         yield seam.assign(a=None, b=None).astype({"a": "Int64", "b": "Int64"})[["a", "b", *_KEYS]]
 
 
 def candidates(sets: DataFrame) -> DataFrame:
     """sets (doc_id, sig) -> distinct pairs (a < b, trees long): LCP neighbours of any tree."""
-    kinds = ", ".join(f"{k} {'int' if k == 'tree' else 'long'}" for k in _KEYS)
-    ordered = sets.select("doc_id", "sig").mapInPandas(_tree_rows, kinds).repartitionByRange(*_KEYS).sortWithinPartitions(*_KEYS)
-    found = cut(ordered.mapInPandas(_pairs, f"a long, b long, {kinds}"))
+    trees = sets.select("doc_id", "sig").mapInPandas(_tree_rows, _TREE_SCHEMA)
+    ordered = trees.repartitionByRange(*_KEYS).sortWithinPartitions(*_KEYS)
+    found = cut(ordered.mapInPandas(_pairs, f"a long, b long, {_TREE_SCHEMA}"))
     by_key = Window.partitionBy("tree", "head").orderBy(*_KEYS[2:])
     seams = found.where("a is null").select(*_KEYS).distinct()
     near = F.array(*(F.lag("doc_id", i).over(by_key) for i in range(1, REGION)))
     across = seams.withColumn("near", near).select("doc_id", F.explode("near").alias("o")).where("o is not null").select(F.least("doc_id", "o").alias("a"), F.greatest("doc_id", "o").alias("b"))
-    return found.where("a is not null").select("a", "b").unionByName(across).where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("trees"))
+    # A region over several ranges: its smallest id is paired with all of it. There are at most two a range.
+    leaders = seams.groupBy("tree", "head").agg(F.min("doc_id").alias("o"))
+    led = trees.select("tree", "head", "doc_id").join(F.broadcast(leaders), ["tree", "head"]).select(F.least("doc_id", "o").alias("a"), F.greatest("doc_id", "o").alias("b"))
+    return found.where("a is not null").select("a", "b").unionByName(across).unionByName(led).where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("trees"))
 
 
 def _confirm(width: int, percent: int):
@@ -173,6 +181,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     With LEAST = 3 and 16 trees, a pair at similarity s shares a prefix somewhere with
     probability 1 - (1 - s^3)^16: 0.9999998 at 0.85, 0.99999 at 0.80.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     sets = cut(docs.mapInPandas(_sets(width), "doc_id long, n_shingles long, digest binary, sig binary"))
     classes = cut(sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")))
@@ -186,6 +195,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     root_a, root_b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"_{x}")) for x in "ab")
     apart = pairs.select("a", "b").join(forest, ["a", "b"], "left_anti").join(root_a, "a", "left").join(root_b, "b", "left").where("coalesce(_a, a) <> coalesce(_b, b)").select("a", "b")
     links = sure.unionByName(cut(confirm(apart, texts, width, percent)))
+    links = cut(links.unionByName(confirm(_hub_pairs(reps, links, pairs), texts, width, percent)))
     final = components(links)
     named = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("_component"))
     return sets.join(named, "digest", "left").select(
@@ -196,5 +206,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
 
 
+def _hub_pairs(reps: DataFrame, links: DataFrame, tested: DataFrame) -> DataFrame:
+    """In regions too crowded to pair all rows: what is still apart from the set with most
+    links of its region, with that set. A copy may be alike to the original alone, whatever
+    its place in the order. At most one pair a row of a tree."""
+    member = reps.select("doc_id", "sig").mapInPandas(_tree_rows, _TREE_SCHEMA).select("tree", "head", "doc_id")
+    crowded = cut(member.groupBy("tree", "head").count().where(F.col("count") > REGION).select("tree", "head"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("degree"))
+    roots = components(links).withColumnRenamed("node", "doc_id")
+    inside = cut(member.join(crowded, ["tree", "head"]).join(degree, "doc_id", "left").join(roots, "doc_id", "left").select("tree", "head", "doc_id", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("root", "doc_id").alias("root")))
+    hub = inside.groupBy("tree", "head").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("minus"), "root")).alias("h")).select("tree", "head", (-F.col("h.minus")).alias("o"), F.col("h.root").alias("o_root"))
+    apart = inside.join(hub, ["tree", "head"]).where("root <> o_root").select(F.least("doc_id", "o").alias("a"), F.greatest("doc_id", "o").alias("b")).distinct()
+    return cut(apart.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+
+
 def _repeats(sets: DataFrame) -> bool:
     return not sets.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()

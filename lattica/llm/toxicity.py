@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, small_batches
+
 # Look-alikes of plain letters (Cyrillic, Greek, others) and of letters written as digits.
 HOMOGLYPHS = str.maketrans(
     "абвгдеёзикмнорстухіјѕԁɡһʏɑοαερτυνικωηµßøłđð",
@@ -153,8 +155,6 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, most_terms: i
     one = lambda c: known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     sample = one(0).unionByName(one(1))
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null")
-    from .common import cut
-
     train = cut(texts.dropDuplicates(["text"]).select("text", "toxic"))
     n = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     if len(n) < 2:
@@ -192,6 +192,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     lexicon's base score. Null doc_ids and repeated rows pass through; other columns are
     ignored.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(lexicon)
     out = docs.select("doc_id", "text").mapInPandas(_score(held), "doc_id long, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
