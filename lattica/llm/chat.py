@@ -42,11 +42,13 @@ def chosen_paths(messages: DataFrame, paths: int = 1) -> DataFrame:
     level = cut(own.join(is_node, (F.col("conv_id") == F.col("_c")) & (F.col("parent") == F.col("_p")), "left").select("conv_id", "node", F.col("_p").alias("up"), F.lit(1).cast("long").alias("dist"), "score"))
     nodes, jumps = level.select("conv_id", "node", "up"), []
     limit = max(1, level.count()).bit_length() + 1
-    while not level.where("up is not null").isEmpty() and len(jumps) < limit:
-        jumps.append(level.where("up is not null").select("conv_id", "node", "up"))
-        above = level.select(F.col("conv_id").alias("_c"), F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("dist").alias("_d"), F.col("score").alias("_s"))
-        level = cut(level.join(above, (F.col("conv_id") == F.col("_c")) & (F.col("up") == F.col("_n")), "left").select("conv_id", "node", F.col("_up").alias("up"), (F.col("dist") + F.coalesce("_d", F.lit(0))).alias("dist"), (F.col("score") + F.coalesce("_s", F.lit(0.0))).alias("score")))
-    rooted = level.where("up is null").select("conv_id", "node", (F.col("dist") - 1).alias("depth"), "score")
+    done, open_ = level.where("up is null"), level.where("up is not null")
+    while not open_.isEmpty() and len(jumps) < limit:  # only what hasn't reached its root is joined again
+        jumps.append(open_.select("conv_id", "node", "up"))
+        above = done.unionByName(open_).select(F.col("conv_id").alias("_c"), F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("dist").alias("_d"), F.col("score").alias("_s"))
+        level = cut(open_.join(above, (F.col("conv_id") == F.col("_c")) & (F.col("up") == F.col("_n"))).select("conv_id", "node", F.col("_up").alias("up"), (F.col("dist") + F.col("_d")).alias("dist"), (F.col("score") + F.col("_s")).alias("score")))
+        done, open_ = done.unionByName(level.where("up is null")), level.where("up is not null")
+    rooted = done.select("conv_id", "node", (F.col("dist") - 1).alias("depth"), "score")
     inner = nodes.where("up is not null").select("conv_id", F.col("up").alias("node")).distinct()
     best = Window.partitionBy("conv_id").orderBy(F.desc("score"), "node")
     leaves = rooted.join(inner, ["conv_id", "node"], "left_anti").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= paths)
