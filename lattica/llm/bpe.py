@@ -191,8 +191,8 @@ def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("piece"), pa.array([[list(x)] for x in batch.column("piece").to_pylist()], pa.list_(pa.list_(pa.int32())))], names=["piece", "pieces"])
 
 
-def folded_ahead(docs: DataFrame, ranks: dict[bytes, int], pattern: str, held) -> dict[bytes, bytes]:
-    """Packed ids of the pieces that most of about SAMPLE documents have, CACHE pieces at
+def folded_ahead(docs: DataFrame, ranks: dict[bytes, int], pattern: str, held) -> bytes:
+    """An Arrow stream of (piece, ids), packed for the driver: ids of the pieces that most of about SAMPLE documents have, CACHE pieces at
     most: each is folded once here instead of once in every task. What a task doesn't find
     here it folds itself."""
     share = min(1.0, SAMPLE / max(1, docs.count()))
@@ -200,12 +200,25 @@ def folded_ahead(docs: DataFrame, ranks: dict[bytes, int], pattern: str, held) -
     counted = sample.mapInArrow(_pieces_to_fold(pattern, held), "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     pieces = cut(counted.where("n > 1").orderBy(F.desc("n"), "piece").limit(CACHE).select("piece").repartition("piece"))
     rows = pieces.mapInArrow(_as_bytes, "piece binary, pieces array<array<int>>").select("piece", folded_ids("pieces", ranks)[0].alias("ids")).toArrow()
-    return {p: np.asarray(ids, "<u4").tobytes() for p, ids in zip(rows["piece"].to_pylist(), rows["ids"].to_pylist(), strict=True)}
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _ahead_of(stream: bytes) -> dict[bytes, bytes]:
+    """piece -> its ids as little-endian unsigned 32-bit integers."""
+    found: dict[bytes, bytes] = {}
+    for batch in pa.ipc.open_stream(stream):
+        ids = batch.column("ids")
+        flat, offsets = ids.values.to_numpy().astype("<u4").tobytes(), (4 * ids.offsets.to_numpy()).tolist()
+        found.update((p, flat[a:b]) for p, a, b in zip(batch.column("piece").to_pylist(), offsets[:-1], offsets[1:], strict=True))
+    return found
 
 
 def _packed(pattern: str, held, ahead):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, ranks, cached = regex.compile(pattern).findall, held.value, ahead.value
+        find, ranks, cached = regex.compile(pattern).findall, held.value, _ahead_of(ahead.value)
         pack_one = struct.Struct("<I").pack
         docs, counts, runs, numbers, chars = [], [], [], _Numbers(), 0
 
