@@ -12,6 +12,7 @@ each group of equal sets takes part.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ from .components import components
 
 TREES, DEPTH, LEAST = 16, 6, 3  # signature layout; shortest common prefix of candidates
 REGION = 16  # sets in a region before a longer prefix is asked for
+BLOCK = 2048  # rows of a block where a crowded region's rest meets its members
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -188,14 +190,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     reps = sets.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").where("digest is not null").dropDuplicates(["doc_id"])
     pairs = cut(candidates(reps))
     texts = docs.where("doc_id is not null").dropDuplicates(["doc_id"]) if _repeats(sets) else docs
-    # First the likeliest smaller neighbour of each set, then what those links leave apart.
-    forest = pairs.groupBy("b").agg(F.max(F.struct("trees", (-F.col("a")).alias("_a"))).alias("m")).select((-F.col("m._a")).alias("a"), "b")
-    sure = cut(confirm(forest, texts, width, percent))
-    roots = components(sure)
-    root_a, root_b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"_{x}")) for x in "ab")
-    apart = pairs.select("a", "b").join(forest, ["a", "b"], "left_anti").join(root_a, "a", "left").join(root_b, "b", "left").where("coalesce(_a, a) <> coalesce(_b, b)").select("a", "b")
-    links = sure.unionByName(cut(confirm(apart, texts, width, percent)))
-    links = cut(links.unionByName(confirm(_hub_pairs(reps, links, pairs), texts, width, percent)))
+    links = _linked(pairs, None, texts, width, percent)
+    crowded = _crowded(reps)
+    hubs = _hub_pairs(crowded, links, pairs)
+    links = cut(links.unionByName(confirm(hubs, texts, width, percent)))
+    rest = _rest_pairs(crowded, reps, links, pairs.select("a", "b").unionByName(hubs), percent)
+    if not rest.isEmpty():
+        links = _linked(rest, links, texts, width, percent)
     final = components(links)
     named = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("_component"))
     return sets.join(named, "digest", "left").select(
@@ -206,19 +207,92 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
 
 
-def _hub_pairs(reps: DataFrame, links: DataFrame, tested: DataFrame) -> DataFrame:
+def _crowded(reps: DataFrame) -> DataFrame:
+    """(tree, head, doc_id) of the regions that hold more than REGION sets."""
+    member = reps.select("doc_id", "sig").mapInPandas(_tree_rows, _TREE_SCHEMA).select("tree", "head", "doc_id")
+    regions = member.groupBy("tree", "head").count().where(F.col("count") > REGION).select("tree", "head")
+    return cut(member.join(cut(regions), ["tree", "head"]))
+
+
+def _rooted(crowded: DataFrame, links: DataFrame) -> DataFrame:
+    return crowded.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+
+
+def _hub_pairs(crowded: DataFrame, links: DataFrame, tested: DataFrame) -> DataFrame:
     """In regions too crowded to pair all rows: what is still apart from the set with most
     links of its region, with that set. A copy may be alike to the original alone, whatever
     its place in the order. At most one pair a row of a tree."""
-    member = reps.select("doc_id", "sig").mapInPandas(_tree_rows, _TREE_SCHEMA).select("tree", "head", "doc_id")
-    crowded = cut(member.groupBy("tree", "head").count().where(F.col("count") > REGION).select("tree", "head"))
     degree = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("degree"))
-    roots = components(links).withColumnRenamed("node", "doc_id")
-    inside = cut(member.join(crowded, ["tree", "head"]).join(degree, "doc_id", "left").join(roots, "doc_id", "left").select("tree", "head", "doc_id", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("root", "doc_id").alias("root")))
+    inside = cut(_rooted(crowded, links).join(degree, "doc_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))))
     hub = inside.groupBy("tree", "head").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("minus"), "root")).alias("h")).select("tree", "head", (-F.col("h.minus")).alias("o"), F.col("h.root").alias("o_root"))
     apart = inside.join(hub, ["tree", "head"]).where("root <> o_root").select(F.least("doc_id", "o").alias("a"), F.greatest("doc_id", "o").alias("b")).distinct()
     return cut(apart.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
 
 
+def least_agreement(percent: int, miss: float = 1e-6) -> int:
+    """Equal minima that a pair at `percent` similarity reaches but with probability `miss`."""
+    n, p, below = TREES * DEPTH, percent / 100, 0.0
+    for k in range(n + 1):
+        below += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if below > miss:
+            return k
+    return n
+
+
+def _agreeing(percent: int):
+    """One block of a region -> its pairs (member, set of the rest) of two components whose
+    sizes and signatures allow the similarity."""
+    least = least_agreement(percent)
+
+    def run(at: pd.DataFrame) -> pd.DataFrame:
+        sig = np.frombuffer(b"".join(at["sig"]), np.uint32).reshape(len(at), -1)
+        ids, root, n, rest = (at[c].to_numpy() for c in ("doc_id", "root", "n_shingles", "rest"))
+        mine, theirs, out = np.flatnonzero(rest), np.flatnonzero(~rest), []
+        columns = np.ascontiguousarray(sig[theirs].T)
+        for i in range(0, len(mine), 128):
+            some = mine[i : i + 128]
+            agree = np.zeros((len(some), len(theirs)), np.uint8)
+            for k in range(sig.shape[1]):
+                agree += sig[some, k][:, None] == columns[k]
+            x, y = np.nonzero(agree >= least)
+            a, b = some[x], theirs[y]
+            ok = (root[a] != root[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+            out.append(np.column_stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), agree[x, y]])[ok])
+        return pd.DataFrame(np.concatenate(out) if out else np.empty((0, 3), np.int64), columns=["a", "b", "agree"]).astype("int64")
+
+    return run
+
+
+def _rest_pairs(crowded: DataFrame, reps: DataFrame, links: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """The exact way for what neighbours, leaders and hubs leave: in each crowded region the
+    sets outside the region's largest component, against all of the region, signature by
+    signature in blocks of about BLOCK rows. Only pairs of two components that can be alike
+    come out; pairs within the largest component never meet."""
+    inside = cut(_rooted(crowded, links))
+    by_root = inside.groupBy("tree", "head", "root").count()
+    region = by_root.groupBy("tree", "head").agg(F.max(F.struct("count", "root")).alias("m"), F.sum("count").alias("n"))
+    region = region.select("tree", "head", F.col("m.root").alias("main"), F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("m.count")) / BLOCK).alias("rests")).where("rests > 0")
+    rows = inside.join(cut(region), ["tree", "head"]).join(reps.select("doc_id", "n_shingles", "sig"), "doc_id")
+    own = lambda parts: F.pmod(F.xxhash64("doc_id"), F.col(parts))
+    every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+    columns = ["tree", "head", "doc_id", "root", "n_shingles", "sig"]
+    members = rows.select(*columns, own("blocks").alias("block"), "rests").select(*columns, "block", every("rests").alias("part"), F.lit(False).alias("rest"))
+    rest = rows.where("root <> main").select(*columns, own("rests").alias("part"), "blocks").select(*columns, every("blocks").alias("block"), "part", F.lit(True).alias("rest"))
+    found = members.unionByName(rest).groupBy("tree", "head", "block", "part").applyInPandas(_agreeing(percent), "a long, b long, agree long")
+    return cut(found.groupBy("a", "b").agg(F.max("agree").alias("trees")).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+
+
+def _linked(pairs: DataFrame, links: DataFrame | None, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """links and those of the candidate pairs that hold: first the likeliest smaller partner
+    of each set, then the pairs whose ends are still in two components."""
+    forest = pairs.groupBy("b").agg(F.max(F.struct("trees", (-F.col("a")).alias("_a"))).alias("m")).select((-F.col("m._a")).alias("a"), "b")
+    sure = confirm(forest, texts, width, percent)
+    sure = cut(sure if links is None else links.unionByName(sure))
+    roots = components(sure)
+    root_a, root_b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"_{x}")) for x in "ab")
+    apart = pairs.select("a", "b").join(forest, ["a", "b"], "left_anti").join(root_a, "a", "left").join(root_b, "b", "left").where("coalesce(_a, a) <> coalesce(_b, b)").select("a", "b")
+    return cut(sure.unionByName(confirm(apart, texts, width, percent)))
+
+
 def _repeats(sets: DataFrame) -> bool:
     return not sets.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()

@@ -55,6 +55,26 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == {i: (want[i], sizes[i], want[i] == i) for i in texts}
 
 
+def test_pairs_alike_to_nothing_else_of_a_crowded_region(spark, monkeypatch):
+    monkeypatch.setattr(lsh_forest, "BLOCK", 50)
+    rnd = random.Random(8)
+    base = words(rnd, 200)
+
+    def changed(w, n):
+        w = list(w)
+        for k in rnd.sample(range(len(w)), n):
+            w[k] = f"edit{rnd.randrange(10**6)}"
+        return w
+
+    alone = [changed(base, 6) for _ in range(150)]
+    texts = [changed(base, 1) for _ in range(80)] + alone + [changed(w, 4) for w in alone]
+    rnd.shuffle(texts)
+    texts = {i: " ".join(w) for i, w in enumerate(texts)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    want, _ = brute_components(texts, 3, 85)
+    assert {r["doc_id"]: r["component_id"] for r in lsh_forest.near_duplicates(df, 3, 85).collect()} == want
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["component_id"], r["n_shingles"] > 0) for r in lsh_forest.near_duplicates(odd).collect())
     assert got == [(-1, None, True), (1, 1, False), (2, 2, False), (3, 3, False), (4, 4, True), (4, 4, True), (5, 5, True), (6, 5, True), (7, 7, True)]
