@@ -72,4 +72,29 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_html_text, op2_language_id, op3_substring_dedup, op4_license_scan, op5_exact_top_k, op6_byte_bpe, op7_chat_formatting, op8_toxicity, op9_decontamination, op10_minhash_near_dedup)}
 
-ORACLES: dict[str, str] = {}
+TOP_K_SQL = """with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as e from embeddings
+  where vec_id is not null and embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id)
+select query_id, cast(row_number() over w as int) as "rank", vec_id, score from s window w as (partition by query_id order by score desc, vec_id) qualify row_number() over w <= 20"""
+
+_CONTROLS = r"<\||</?s>|<<SYS>>|<</SYS>>|\[/?INST\]"
+_WRITTEN = f"length({{0}}) + length({{0}}) - length(replace({{0}}, chr(92), '')) + len(regexp_extract_all({{0}}, '{_CONTROLS}'))"
+CHAT_SQL = f"""with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum({len(chat.START) + len(chat.SEP) + len(chat.END)} + {_WRITTEN.format("role")} + {_WRITTEN.format("text")}) as bigint) as formatted_chars
+from c group by conv_id"""
+
+NEAR_SQL = r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+d as (select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as own from w),
+s as materialized (select doc_id, len(own) as n, hash(unnest(own)) as sh from d),
+p as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as common from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) group by 1, 2),
+k as materialized (select a, b from p where 100 * common >= 85 * (na + nb - common)),
+e as (select a, b from k union all select b, a from k),
+r(doc_id, other) as (select doc_id, doc_id from d union select r.doc_id, e.b from r join e on r.other = e.a),
+m as (select doc_id, min(other) as component_id from r group by 1)
+select d.doc_id, cast(len(own) as bigint) as n_shingles, component_id, d.doc_id = component_id as kept from d join m on d.doc_id = m.doc_id"""
+
+ORACLES: dict[str, str] = {"op5_exact_top_k": TOP_K_SQL, "op7_chat_formatting": CHAT_SQL, "op10_minhash_near_dedup": NEAR_SQL}
