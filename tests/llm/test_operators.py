@@ -214,6 +214,35 @@ def test_repeated_passages(spark, odd, none):
     assert passages.repeated(odd).where("doc_id <> 6").isEmpty() and passages.repeated(none).isEmpty()
 
 
+def covered(found, doc):
+    return {w for r in found if r["doc_id"] == doc for w in range(r["start_word"], r["end_word"])}
+
+
+def test_passages_of_frequent_lines_and_within_documents(spark):
+    """Every word of an equal run of 40 that stands earlier, by brute force."""
+    rnd = random.Random(8)
+    lines = [words(rnd, 9, 10**6) for _ in range(12)]
+    passage = [w for x in lines for w in x]
+    pad = lambda n=30: words(rnd, n, 10**6)
+    docs = [pad() + x + pad() for x in lines for _ in range(12)]  # each line's first owners
+    docs += [pad() + passage + pad() for _ in range(3)]
+    once = words(rnd, 60, 10**6)
+    docs += [pad() + once + pad() + once + pad(), pad() + lines[0] * 20 + pad(), ["the"] * 300]
+    far = words(rnd, 45, 10**6), words(rnd, 45, 10**6)
+    docs += [pad() + far[0] + pad(250) + far[1] + pad(), pad() + far[0] + pad(250) + far[1] + pad()]
+    seen, expected = set(), {}
+    for i, own in enumerate(docs):
+        expected[i] = set()
+        for p in range(len(own) - 39):
+            if (run := tuple(own[p : p + 40])) in seen:
+                expected[i] |= set(range(p, p + 40))
+            seen.add(run)
+    found = passages.repeated(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string")).collect()
+    for i in expected:
+        assert expected[i] <= covered(found, i) and len(covered(found, i) - expected[i]) <= 8
+    assert all(r["src_doc_id"] < r["doc_id"] or r["src_start"] < r["start_word"] for r in found)
+
+
 def test_best_chain_is_collinear():
     place, source = np.array([0, 5, 10, 12, 20]), np.array([3, 8, 500, 15, 23])
     assert passages.chains(place, source)[0] == [0, 1, 3, 4]
