@@ -243,6 +243,23 @@ def test_passages_of_frequent_lines_and_within_documents(spark):
     assert all(r["src_doc_id"] < r["doc_id"] or r["src_start"] < r["start_word"] for r in found)
 
 
+def test_fuzzy_passages_are_recalled(spark):
+    """Words substituted at random, 50-word passages: share found at 10 and 14 % changed."""
+    rnd = random.Random(9)
+    rows, fuzzy = [], {}
+    for i in range(240):
+        passage = words(rnd, 50, 10**6)
+        at = set(rnd.sample(range(50), 5 if i % 2 else 7))
+        changed = [f"new{i}x{k}" if k in at else w for k, w in enumerate(passage)]
+        rows += [(2 * i, " ".join(words(rnd, 40, 10**6) + passage + words(rnd, 40, 10**6))), (2 * i + 1, " ".join(words(rnd, 40, 10**6) + changed + words(rnd, 40, 10**6)))]
+        fuzzy[2 * i + 1] = i % 2
+    found = {r["doc_id"] for r in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found <= set(fuzzy)
+    recall = [sum(d in found for d in fuzzy if fuzzy[d] == k) / 120 for k in (0, 1)]
+    print("recall at 14 and 10 % changed:", recall)
+    assert recall[1] >= 0.95 and recall[0] >= 0.85
+
+
 def test_best_chain_is_collinear():
     place, source = np.array([0, 5, 10, 12, 20]), np.array([3, 8, 500, 15, 23])
     assert passages.chains(place, source)[0] == [0, 1, 3, 4]
