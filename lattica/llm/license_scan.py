@@ -5,7 +5,8 @@ of two); a notice of c/2..c shingles that is whole in a text lies in one of them
 similarity is at least 0.8 / 4 even if only 0.8 of it is there. 96 MinHash bands of one row
 then retrieve its template with probability 1 - 0.8^96 (over 0.999999999), and the exact
 share of the template's shingles in the window decides. Windows without any shingle of a
-template can't hold a notice and are passed over before hashing.
+template can't hold a notice and are passed over before hashing. Notices of fewer than WIDTH
+words are one shingle of all their words, and are looked up among the runs of that width.
 """
 
 from __future__ import annotations
@@ -30,34 +31,105 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
 }
 
+#: More notices of the licenses above and of others; a license is reported once, with its best notice.
+NOTICES = [
+    ("All-rights-reserved", "All rights reserved."),
+    ("MIT", "MIT License"),
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("Apache-2.0", "Apache License 2.0"),
+    ("GPL-3.0", "GNU General Public License, version 3"),
+    ("GPL-3.0", "GNU General Public License v3.0"),
+    ("GPL-2.0", "GNU General Public License, version 2"),
+    ("GPL-2.0", "GNU General Public License v2.0"),
+    ("LGPL", "GNU Lesser General Public License"),
+    ("LGPL", "GNU Library General Public License"),
+    ("AGPL", "GNU Affero General Public License"),
+    ("MPL-2.0", "Mozilla Public License 2.0"),
+    ("MPL-2.0", "Mozilla Public License, version 2.0"),
+    ("EPL", "Eclipse Public License"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("ISC", "ISC License"),
+    ("BSL-1.0", "Boost Software License"),
+    ("Zlib", "zlib License"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("CC-BY-4.0", "CC BY 4.0"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
+    ("CC-BY-SA-4.0", "CC BY-SA 4.0"),
+    ("CC-BY-NC-4.0", "CC BY-NC 4.0"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    *((name, f"SPDX-License-Identifier: {tag}") for name, tags in {
+        "MIT": ["MIT"], "Apache-2.0": ["Apache-2.0"], "GPL-2.0": ["GPL-2.0"], "GPL-3.0": ["GPL-3.0"], "LGPL": ["LGPL-2.0", "LGPL-2.1", "LGPL-3.0"],
+        "AGPL": ["AGPL-3.0"], "MPL-2.0": ["MPL-2.0"], "EPL": ["EPL-1.0", "EPL-2.0"], "BSD-2-Clause": ["BSD-2-Clause"], "BSD-3-Clause": ["BSD-3-Clause"],
+        "ISC": ["ISC"], "BSL-1.0": ["BSL-1.0"], "Zlib": ["Zlib"], "CC0-1.0": ["CC0-1.0"], "Unlicense": ["Unlicense"], "CC-BY-4.0": ["CC-BY-4.0"],
+        "CC-BY-SA-4.0": ["CC-BY-SA-4.0"], "CC-BY-NC-4.0": ["CC-BY-NC-4.0"],
+    }.items() for tag in tags),
+]
+
+
+def words_in(text: Column) -> Column:
+    """Letters and digits, lower case, in order."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def _runs(w: Column, width: int) -> Column:
+    """(hash, place) of all runs of `width` words."""
+    return F.transform(F.when(F.size(w) >= width, F.sequence(F.lit(0), F.size(w) - width)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.xxhash64(*(F.get(w, i + k) for k in range(width))).alias("h"), i.alias("i")))
+
 
 def shingles(text: Column) -> Column:
     """Hashes of all runs of WIDTH words (letters and digits, lower case), in order."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    run = lambda w: F.transform(F.when(F.size(w) >= WIDTH, F.sequence(F.lit(0), F.size(w) - WIDTH)).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(WIDTH))))
-    return F.transform(F.array(words), run)[0]
+    return F.transform(F.array(words_in(text)), lambda w: F.transform(_runs(w, WIDTH), lambda r: r["h"]))[0]
 
 
 def _minima(own: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.array_min(F.transform(own, lambda x: F.xxhash64(x, j))))
 
 
-def _templates(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    rows = F.array(*(F.struct(F.lit(k).alias("license"), F.lit(v).alias("notice")) for k, v in templates.items()))
-    known = spark.range(1).select(F.explode(rows).alias("t")).select("t.license", F.array_distinct(shingles(F.col("t.notice"))).alias("of"))
-    return known.where(F.size("of") > 0).withColumn("c", F.expr("cast(pow(2, ceil(log2(size(of)))) as int)"))
+def _templates(spark: SparkSession, notices: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """Notices of WIDTH words or more with their shingles; shorter ones with their one run."""
+    rows = F.array(*(F.struct(F.lit(k).alias("license"), F.lit(i).alias("notice"), F.lit(v).alias("text")) for i, (k, v) in enumerate(notices)))
+    known = spark.range(1).select(F.explode(rows).alias("t")).select("t.license", "t.notice", "t.text", F.size(words_in(F.col("t.text"))).alias("width"))
+    long = known.where(F.col("width") >= WIDTH).select("license", "notice", F.array_distinct(shingles(F.col("text"))).alias("of"))
+    first = lambda k: F.when(F.col("width") == k, F.transform(F.array(words_in(F.col("text"))), lambda w: _runs(w, k)[0]["h"])[0])
+    run = F.coalesce(*map(first, range(1, WIDTH)))
+    return long.withColumn("c", F.expr("cast(pow(2, ceil(log2(size(of)))) as int)")), known.where(F.col("width").between(1, WIDTH - 1)).select("license", "notice", "width", run.alias("h"), F.array_join(words_in(F.col("text")), r"[^\p{L}\p{N}]+").alias("like"))
+
+
+def _short(docs: DataFrame, known: DataFrame) -> DataFrame | None:
+    """Places of notices under WIDTH words, in the windows (two shingles) that hold them."""
+    sought: dict[int, list[int]] = {}
+    listed = known.collect()  # one row a template, fixed in number
+    for r in listed:
+        sought.setdefault(r["width"], []).append(r["h"])
+    if not sought:
+        return None
+
+    def of_width(w: Column, k: int) -> Column:
+        return F.transform(F.filter(_runs(w, k), lambda r: r["h"].isin(sought[k])), lambda r: F.struct(F.lit(k).alias("width"), r["h"].alias("h"), r["i"].alias("i")))
+
+    at = lambda w: F.flatten(F.array(*(of_width(w, k) for k in sought)))
+    # a text without the words of one in a row can't hold it, and isn't hashed
+    some = docs.where(F.col("doc_id").isNotNull() & F.lower("text").rlike("|".join(sorted({r["like"] for r in listed}))))
+    hits = some.select("doc_id", F.explode(F.transform(F.array(words_in(F.col("text"))), at)[0]).alias("r")).select("doc_id", "r.*")
+    met = hits.join(F.broadcast(known.select("license", "notice", "width", "h")), ["width", "h"])
+    start = F.explode(F.array_distinct(F.array(F.greatest(F.col("i") - 1, F.lit(0)), F.col("i"))))
+    return met.select("doc_id", "license", "notice", F.lit(1.0).alias("containment"), start.alias("start"))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, share: float = 0.8) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, license, containment, first_window, n_windows): a row
-    for each document row's notices, found where at least `share` of a template's 5-word
+    for each document row's licenses, found where at least `share` of a notice's 5-word
     shingles are in one window; containment is the best window's share, first_window its
-    first such window's place in shingles. Null and empty texts, null ids and texts without
-    a notice give no rows; rows that repeat a doc_id count as one. Templates of fewer than
-    five words are ignored. Other columns are ignored.
+    first such window's place in shingles. Of a license's notices the one of most
+    containment counts, then the first listed. Notices of fewer than five words are found
+    whole only, at places in runs of their own width. Null and empty texts, null ids and
+    texts without a notice give no rows; rows that repeat a doc_id count as one. Templates
+    without a word are ignored. Other columns are ignored.
     """
     spark = docs.sparkSession
-    known = _templates(spark, templates or TEMPLATES)
+    known, brief = _templates(spark, [*TEMPLATES.items(), *NOTICES] if templates is None else list(templates.items()) or [("", "")])
     listed = known.collect()  # one row a template, fixed in number
     every = sorted({x for r in listed for x in r["of"]})
     classes = sorted({r["c"] for r in listed})
@@ -74,7 +146,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, share: float
     windows = hits.select("doc_id", "s", F.explode(F.flatten(F.array(*map(around, classes)))).alias("w"))
     part = windows.select("doc_id", F.col("w.c").alias("c"), (F.col("w.c") * F.col("w.k")).alias("start"), F.array_distinct(F.slice("s", F.col("w.c") * F.col("w.k") + 1, 2 * F.col("w.c"))).alias("part"))
     bands = part.select("doc_id", "c", "start", "part", F.posexplode(_minima(F.col("part"))).alias("band", "value"))
-    sought = known.select("license", "of", F.col("c").alias("_c"), F.posexplode(_minima(F.col("of"))).alias("_band", "_value"))
+    sought = known.select("license", "notice", "of", F.col("c").alias("_c"), F.posexplode(_minima(F.col("of"))).alias("_band", "_value"))
     met = bands.join(F.broadcast(sought), (F.col("c") == F.col("_c")) & (F.col("band") == F.col("_band")) & (F.col("value") == F.col("_value")))
     sure = met.withColumn("containment", F.size(F.array_intersect("part", "of")) / F.size("of")).where(F.col("containment") >= share)
-    return sure.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("start").alias("first_window"), F.count_distinct("start").alias("n_windows"))
+    sure = sure.select("doc_id", "license", "notice", "containment", "start")
+    short = _short(docs, brief)
+    every = sure if short is None else sure.unionByName(short)
+    of_notice = every.groupBy("doc_id", "license", "notice").agg(F.max("containment").alias("containment"), F.min("start").alias("first_window"), F.count_distinct("start").alias("n_windows"))
+    best = of_notice.groupBy("doc_id", "license").agg(F.max_by(F.struct("containment", "first_window", "n_windows"), F.struct("containment", -F.col("notice"))).alias("b"))
+    return best.select("doc_id", "license", "b.*")

@@ -295,6 +295,17 @@ def test_licenses(spark, odd, none):
     assert license_scan.scan(odd).isEmpty() and license_scan.scan(none).isEmpty()
 
 
+def test_every_notice_is_found(spark):
+    known = [*license_scan.TEMPLATES.items(), *license_scan.NOTICES]
+    rows = [(i, f"alpha beta {text} gamma delta") for i, (_, text) in enumerate(known)] + [(-1, "all rights are reserved"), (-2, "All rights reserved")]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {(r["doc_id"], r["license"]) for r in got}
+    assert {(i, name) for i, (name, _) in enumerate(known)} <= found and len(found) == len(got)
+    assert [tuple(r)[1:] for r in got if r["doc_id"] == -2] == [("All-rights-reserved", 1.0, 0, 1)] and not any(r["doc_id"] == -1 for r in got)
+    own = license_scan.scan(spark.createDataFrame(rows[:1], "doc_id long, text string"), {"greek": "gamma delta", "none": "..."}).collect()
+    assert [(r["license"], r["containment"]) for r in own] == [("greek", 1.0)]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
