@@ -56,7 +56,7 @@ def test_near_duplicates_equal_brute_force(spark):
 
 
 def test_pairs_alike_to_nothing_else_of_a_crowded_region(spark, monkeypatch):
-    monkeypatch.setattr(lsh_forest, "BLOCK", 50)
+    monkeypatch.setattr(lsh_forest, "BLOCK_ROWS", 50)
     rnd = random.Random(8)
     base = words(rnd, 200)
 
@@ -83,7 +83,7 @@ def test_near_duplicates_of_odd_rows(odd, none):
 
 def test_neighbours_keep_to_regions():
     rows = np.array([[0, 1, 5, 5, 5], [0, 1, 5, 5, 6], [0, 2, 1, 1, 1]])
-    assert {tuple(sorted(x)) for x in lsh_forest._neighbours(rows, np.array([4, 3, 9])).tolist()} == {(0, 1)}
+    assert {tuple(sorted(x)) for x in lsh_forest._neighbours(rows, np.array([4, 3, 9]), True).tolist()} == {(0, 1)}
 
 
 # -- top k
