@@ -70,6 +70,15 @@ def release(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """name, with underscores in front until no column has it."""
+    taken = {c.lower() for c in columns}
+    name = f"_{name}"
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def remainder(column: str, n: int):
     """crc32(column as text) mod n, the split that the contracts name."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
