@@ -2,8 +2,9 @@
 
 A language is a distribution over hashed letter n-grams (1 to 3 letters, words padded by a
 space). A document is a mixture of languages; EM estimates the proportions, and the set of
-languages is the one of least penalised likelihood: starting from all, the language of least
-weight goes as long as that improves  -2 log L + penalty * size * log(n).
+languages is the one of least penalised likelihood  -2 log L + penalty * size * log(n): starting from
+all, languages of little weight go together if that improves it, else the one of least weight alone,
+until neither does.
 """
 
 from __future__ import annotations
@@ -72,56 +73,68 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Model:
-    """languages; log_p [ORDERS * BUCKETS, languages] float32, normalised for each order."""
+    """languages; p [ORDERS * BUCKETS, languages] float32: n-gram probabilities, over the largest
+    of their row (a factor that all sets of languages share)."""
 
-    def __init__(self, languages: list[str], log_p: np.ndarray) -> None:
-        self.languages, self.log_p = languages, log_p
+    def __init__(self, languages: list[str], p: np.ndarray) -> None:
+        self.languages, self.p = languages, p
 
 
-def fit(train: DataFrame, per_language: int = 3000, most_languages: int = 64) -> Model:
+def fit(train: DataFrame, per_language: int = 3000) -> Model:
     """train (text, lang), null lang ignored -> Model.
 
-    The fit uses a sample: of each language about `per_language` texts of least hash, by a
-    threshold on the hash, for the `most_languages` most frequent languages. The model has
-    3 * BUCKETS rows and at most that many columns, whatever the input's size.
+    The fit uses a sample: of each language about `per_language` distinct texts of least hash, by a
+    threshold on the hash; repeated texts count once. The model has 3 * BUCKETS rows and a column for each
+    language, whatever the input's size.
     """
-    train = train.select("text", "lang").where("lang is not null and text is not null")
-    sizes = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
-    if not sizes:
+    train = train.select("text", "lang", F.xxhash64("text").alias("h")).where("lang is not null and text is not null")
+    sizes = train.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    share = sizes.select("lang", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n")).alias("share"))
+    sample = train.join(F.broadcast(share), "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    once = sample.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    rows = once.select("text", "lang").mapInPandas(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    if not len(rows):
         return Model([], np.zeros((ORDERS * BUCKETS, 0), np.float32))
-    share = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_language / r["count"]))) for r in sizes), F.lit(-1.0))
-    sample = train.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
-    rows = sample.mapInPandas(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(rows["lang"].unique())
     counts = np.zeros((ORDERS * BUCKETS, len(languages)))
     counts[rows["bucket"].to_numpy(), np.searchsorted(languages, rows["lang"].to_numpy(str))] = rows["n"]
     by_order = counts.reshape(ORDERS, BUCKETS, -1) + 0.05
-    return Model(languages, np.log(by_order / by_order.sum(axis=1, keepdims=True)).reshape(ORDERS * BUCKETS, -1).astype(np.float32))
+    p = (by_order / by_order.sum(axis=1, keepdims=True)).reshape(ORDERS * BUCKETS, -1)
+    return Model(languages, (p / p.max(axis=1, keepdims=True)).astype(np.float32))
 
 
-def mixture(count: np.ndarray, log_p: np.ndarray, penalty: float) -> np.ndarray:
+def proportions(weight: np.ndarray, p: np.ndarray, pi: np.ndarray, rounds: int) -> np.ndarray:
+    """EM: pi after `rounds` steps from pi; p [n-grams, languages], weight of each n-gram."""
+    n = weight.sum()
+    for _ in range(rounds if len(pi) > 1 else 0):
+        joint = p * pi
+        pi = weight @ (joint / joint.sum(axis=1, keepdims=True)) / n
+    return pi
+
+
+def mixture(count: np.ndarray, p: np.ndarray, penalty: float) -> np.ndarray:
     """Language proportions of one document (zeros: not in the chosen set)."""
-    top = log_p.max(axis=1, keepdims=True)
-    p, weight = np.exp(log_p - top), count / ORDERS  # the orders see the same letters
-    n, alive = weight.sum(), np.arange(log_p.shape[1])
-    best, chosen = np.inf, None
-    pi = np.full(len(alive), 1 / len(alive))
-    while True:
+    weight = count / ORDERS  # the orders see the same letters
+    n, of_size = weight.sum(), penalty * np.log(weight.sum() + 1)
+
+    def tried(alive: np.ndarray, pi: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         q = p[:, alive]
-        for _ in range(ROUNDS if len(alive) > 1 else 0):
-            joint = q * pi
-            pi = weight @ (joint / joint.sum(axis=1, keepdims=True)) / n
-        cost = -2 * float(weight @ np.log(q @ pi)) + penalty * len(alive) * np.log(n + 1)
-        if cost > best:
-            return chosen
-        best, chosen = cost, np.zeros(log_p.shape[1])
-        chosen[alive] = pi
-        if len(alive) == 1:
-            return chosen
-        keep = pi > max(pi.min(), 0.02)
-        if not keep.any():
-            keep = np.arange(len(pi)) == pi.argmax()
-        alive, pi = alive[keep], pi[keep] / pi[keep].sum()
+        pi = proportions(weight, q, pi / pi.sum(), ROUNDS)
+        return -2 * float(weight @ np.log(np.maximum(q @ pi, 1e-300))) + of_size * len(alive), alive, pi
+
+    best = tried(np.arange(p.shape[1]), np.full(p.shape[1], 1.0))
+    while len(best[1]) > 1:
+        _, alive, pi = best
+        least = np.arange(len(pi)) == pi.argmin()
+        little = (pi <= 0.02) & (pi < pi.max())
+        options = [~little] if little.sum() > 1 else []
+        got = next((t for keep in [*options, ~least] if (t := tried(alive[keep], pi[keep]))[0] <= best[0]), None)
+        if got is None:
+            break
+        best = got
+    chosen = np.zeros(p.shape[1])
+    chosen[best[1]] = best[2]
+    return chosen
 
 
 def _predict(model_of, penalty: float):
@@ -134,7 +147,7 @@ def _predict(model_of, penalty: float):
                 if not len(bucket) or not model.languages:
                     lang.append("und"), score.append(0.0), mixed.append([])
                     continue
-                pi = mixture(count, model.log_p[bucket], penalty)
+                pi = mixture(count, model.p[bucket], penalty)
                 k = int(pi.argmax())
                 lang.append(model.languages[k]), score.append(min(1.0, float(pi[k])))
                 mixed.append([(model.languages[i], float(pi[i])) for i in np.argsort(-pi) if pi[i] > 0])
