@@ -4,9 +4,14 @@ Texts are read in overlapping windows of 2c shingles every c, for each size clas
 of two); a notice of c/2..c shingles that is whole in a text lies in one of them, where its
 similarity is at least 0.8 / 4 even if only 0.8 of it is there. 96 MinHash bands of one row
 then retrieve its template with probability 1 - 0.8^96 (over 0.999999999), and the exact
-share of the template's shingles in the window decides. Windows without any shingle of a
-template can't hold a notice and are passed over before hashing. Notices of fewer than WIDTH
-words are one shingle of all their words, and are looked up among the runs of that width.
+share of the template's shingles in the window decides.
+
+A band of a window and of a template can be equal only where the window holds the shingle that gives the
+template its minimum. So the bands are looked up from their other end: the places of those
+shingles (96 a template at most) say which windows can collide at all, and only these windows' minima are
+computed and joined. No window that any band would retrieve is passed over.
+Notices of fewer than WIDTH words are one shingle of all their words, and are looked up among
+the runs of that width.
 """
 
 from __future__ import annotations
@@ -16,7 +21,19 @@ from pyspark.sql import functions as F
 
 WIDTH, BANDS = 5, 96
 
-#: Notices looked for.
+# The words of public license texts and of the headers that they ask for.
+_MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+_BSD_GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_BSD_REST = (
+    ": 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    " 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_BSD_NAMES = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_WARRANTY = (
+    ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'
+    " IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)"
+    " HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
@@ -24,9 +41,23 @@ TEMPLATES = {
     "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "MIT": "Released under the MIT License.",
-    "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "MIT-grant": _MIT_GRANT,
+    "MIT-text": _MIT_GRANT
+    + ' (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
+    " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
+    " IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "BSD": _BSD_GRANT,
+    "BSD-2-Clause-text": _BSD_GRANT + _BSD_REST + _BSD_WARRANTY,
+    "BSD-3-Clause-text": _BSD_GRANT + _BSD_REST + _BSD_NAMES + _BSD_WARRANTY,
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'
+    " IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "Zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."
+    " Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"
+    " 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required."
+    " 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
 }
@@ -131,10 +162,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, share: float
     spark = docs.sparkSession
     known, brief = _templates(spark, [*TEMPLATES.items(), *NOTICES] if templates is None else list(templates.items()) or [("", "")])
     listed = known.collect()  # one row a template, fixed in number
-    every = sorted({x for r in listed for x in r["of"]})
-    classes = sorted({r["c"] for r in listed})
-    if not every:
-        every, classes = [0], [1]
+    classes = sorted({r["c"] for r in listed}) or [1]
+    # the shingles that give a template's bands their minima
+    least = known.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.array_min(F.transform("of", lambda x: F.struct(F.xxhash64(x, j), x.alias("x")))))["x"]).alias("x"))
+    every = sorted({r["x"] for r in least.distinct().collect()}) or [0]  # at most BANDS a template
     own = docs.select("doc_id", shingles(F.col("text")).alias("s")).where("doc_id is not null")
     hits = own.withColumn("at", F.filter(F.transform("s", lambda x, i: F.when(x.isin(every), i)), lambda i: i.isNotNull())).where(F.size("at") > 0)
 
