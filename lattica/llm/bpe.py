@@ -3,8 +3,11 @@
 Each task splits its texts into pieces and keeps the distinct ones of a few million
 characters as one row: the pieces' byte arrays, and the texts as runs of piece numbers.
 The rank map is a literal: every mergeable pair of token ids with the id (= rank) of the
-merged token, laid out so that a look-up inside a lambda is two array reads. A fold over each byte array merges, step by step, the leftmost pair of the
-least rank. Then ids are joined for each text, and decoding concatenates the tokens' bytes.
+merged token, laid out so that a look-up inside a lambda is two array reads. A fold over each
+byte array merges, step by step, the leftmost pair of the least rank. Pieces longer than FOLDED bytes are first
+split between bytes that no token holds side by side, where no merge can ever join them; what is then
+still longer (one letter thousands of times, say) is merged by a heap, as the fold is quadratic.
+Then ids are joined for each text, and decoding concatenates the tokens' bytes.
 Nothing is shuffled and no task needs more than its own texts.
 """
 
@@ -27,7 +30,7 @@ from .common import cut, small_batches
 
 PACK = 11_000_000  # characters whose pieces are told apart together
 SAMPLE, CACHE = 20_000, 300_000  # documents looked at for frequent pieces; most pieces folded ahead
-FOLDED = 40  # bytes of the longest piece that the fold takes; it is quadratic, merge_long isn't
+FOLDED = 64  # bytes of the longest piece that the fold takes whole
 BITS = 20  # of a token id
 MASK, NONE = (1 << BITS) - 1, 1 << BITS
 
@@ -164,23 +167,35 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
 
+def side_by_side(ranks: dict[bytes, int]) -> np.ndarray:
+    """[256, 256]: whether any token holds byte x before byte y."""
+    out = np.zeros((256, 256), bool)
+    for token in ranks:
+        own = np.frombuffer(token, np.uint8)
+        out[own[:-1], own[1:]] = True
+    return out
+
+
+def apart(piece: bytes, together: np.ndarray) -> list[bytes]:
+    """The piece in parts that merge by themselves: cut where no token spans the cut."""
+    own = np.frombuffer(piece, np.uint8)
+    cuts = (np.flatnonzero(~together[own[:-1], own[1:]]) + 1).tolist()
+    return [piece[a:b] for a, b in zip([0, *cuts], [*cuts, len(piece)], strict=True)]
+
+
 class _Numbers(dict):
     def __missing__(self, key: str) -> int:
         self[key] = n = len(self)
         return n
 
 
-def _to_fold(raw: bytes, ranks: dict[bytes, int]) -> bool:
-    return len(raw) <= FOLDED and raw not in ranks
-
-
 def _pieces_to_fold(pattern: str, held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, found = regex.compile(pattern).findall, Counter()
+        find, found, ranks = regex.compile(pattern).findall, Counter(), held.value
         for batch in batches:
             for text in batch.column("text"):
                 found.update(set(find(text.as_py() or "")))
-        raw = [(x, n) for x, n in ((p.encode(), n) for p, n in found.items()) if _to_fold(x, held.value)]
+        raw = [(x, n) for x, n in ((p.encode(), n) for p, n in found.items()) if len(x) <= FOLDED and x not in ranks]
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in raw], pa.binary()), pa.array([n for _, n in raw], pa.int64())], names=["piece", "n"])
 
     return run
@@ -219,13 +234,31 @@ def _ahead_of(stream: bytes) -> dict[bytes, bytes]:
 def _packed(pattern: str, held, ahead):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, ranks, cached = regex.compile(pattern).findall, held.value, _ahead_of(ahead.value)
+        together = side_by_side(ranks)
         pack_one = struct.Struct("<I").pack
-        docs, counts, runs, numbers, chars = [], [], [], _Numbers(), 0
+        docs, runs, numbers, chars = [], [], _Numbers(), 0
+
+        def in_parts() -> None:
+            """Long pieces become their parts, in numbers and in runs."""
+            parts = {i: [numbers[x] for x in apart(p.encode(), together)] for p, i in [x for x in numbers.items() if len(x[0]) > FOLDED // 4] if len(p.encode()) > FOLDED and p.encode() not in ranks}
+            if parts:
+                long = np.zeros(len(numbers), bool)
+                long[list(parts)] = True
+                for k, run in enumerate(runs):
+                    if long[run].any():
+                        runs[k] = np.concatenate([parts[i] if i in parts else [i] for i in run.tolist()]).astype(np.uint32)
 
         def pack() -> pa.RecordBatch:
+            in_parts()
             known, n_known, at_known, at_folded, bytes_of = [], [], [], [], []
+            used = np.zeros(len(numbers), bool)
+            for run in runs:
+                used[run] = True
             for i, piece in enumerate(numbers):
-                raw = piece.encode()
+                if not used[i]:
+                    at_known.append(i), known.append(b""), n_known.append(0)
+                    continue
+                raw = piece if isinstance(piece, bytes) else piece.encode()
                 whole = ranks.get(raw)
                 ids = pack_one(whole) if whole is not None else np.asarray(merge_long(raw, ranks), "<u4").tobytes() if len(raw) > FOLDED else cached.get(raw)
                 if ids is None:
@@ -237,7 +270,7 @@ def _packed(pattern: str, held, ahead):
             as_row = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             packed = lambda x: pa.array([np.asarray(x, np.uint32).tobytes()], pa.binary())
             return pa.RecordBatch.from_arrays(
-                [as_row(pa.array(docs, pa.int64())), packed(counts), pa.array([b"".join(runs)], pa.binary()), as_row(pieces), packed(at_folded), packed(at_known), pa.array([b"".join(known)], pa.binary()), packed(n_known)],
+                [as_row(pa.array(docs, pa.int64())), packed([len(x) for x in runs]), pa.array([b"".join(x.tobytes() for x in runs)], pa.binary()), as_row(pieces), packed(at_folded), packed(at_known), pa.array([b"".join(known)], pa.binary()), packed(n_known)],
                 names=["docs", "counts", "runs", "pieces", "at_folded", "at_known", "known", "n_known"],
             )
 
@@ -245,12 +278,12 @@ def _packed(pattern: str, held, ahead):
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 text = text.as_py() or ""
                 found = find(text)
-                runs.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)).tobytes())
-                docs.append(doc), counts.append(len(found))
+                runs.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
+                docs.append(doc)
                 chars += len(text) + 16
                 if chars >= PACK:
                     yield pack()
-                    docs, counts, runs, numbers, chars = [], [], [], _Numbers(), 0
+                    docs, runs, numbers, chars = [], [], _Numbers(), 0
         if docs:
             yield pack()
 
@@ -260,7 +293,7 @@ def _packed(pattern: str, held, ahead):
 _PACK = "docs array<long>, counts binary, runs binary, pieces array<array<int>>, at_folded binary, at_known binary, known binary, n_known binary"
 
 
-def _joined(held):
+def _joined(held, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = {i: t for t, i in held.value.items()}
         for batch in batches:
@@ -279,19 +312,23 @@ def _joined(held):
                     flat = encoded.values.to_numpy().astype("<u4").tobytes()
                     for i, a, b in zip(at_folded.tolist(), (4 * offsets[:-1]).tolist(), (4 * offsets[1:]).tolist(), strict=True):
                         ids_of[i] = flat[a:b]
-                runs, at, out = number("runs"), 0, ([], [], [])
+                runs, at, out = number("runs"), 0, ([], [], [], [])
                 for n in number("counts").tolist():
                     ids = b"".join(map(ids_of.__getitem__, runs[at : at + n].tolist()))
                     at += n
                     text = b"".join(map(token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
                     out[0].append(len(ids) // 4), out[1].append(hashlib.sha256(ids).hexdigest()), out[2].append(hashlib.sha256(text).hexdigest())
-                yield pa.RecordBatch.from_arrays([pa.array(value("docs").as_py(), pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    if with_ids:
+                        out[3].append(np.frombuffer(ids, "<u4").astype(np.int32))
+                columns = [pa.array(value("docs").as_py(), pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(out[3], pa.list_(pa.int32()))] * with_ids, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
     return run
 
 
-def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, n_tokens, ids_sha256, decoded_sha256), a row for each input row.
+def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, n_tokens, ids_sha256, decoded_sha256) and, if with_ids,
+    ids array<int>; a row for each input row.
 
     Every match of pattern is merged by itself, no special tokens; a piece that is a token
     is that token. ids_sha256 is over the ids as little-endian unsigned 32-bit integers,
@@ -304,4 +341,4 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> Dat
     ahead = docs.sparkSession.sparkContext.broadcast(folded_ahead(docs, ranks, pattern, held))
     packs = docs.select("doc_id", "text").mapInArrow(_packed(pattern, held, ahead), _PACK)
     done = packs.withColumn("encoded", folded_ids("pieces", ranks)).drop("pieces")
-    return done.mapInArrow(_joined(held), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return done.mapInArrow(_joined(held, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
