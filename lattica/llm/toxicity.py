@@ -21,13 +21,18 @@ from pyspark.sql import functions as F
 
 from .common import cut, small_batches
 
-# Look-alikes of plain letters (Cyrillic, Greek, others) and of letters written as digits.
-HOMOGLYPHS = str.maketrans(
-    "абвгдеёзикмнорстухіјѕԁɡһʏɑοαερτυνικωηµßøłđð",
-    "a6brдee3икmhopctyxijsdghyaoaeptuvikwnusoldd".replace("д", "d").replace("и", "u"),
-)
+# Letters that look like plain ones, as Unicode's data on confusable characters has them.
+HOMOGLYPHS = str.maketrans({
+    "а": "a", "е": "e", "ё": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ї": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
+    "ӏ": "l", "г": "r", "к": "k", "м": "m", "н": "h", "т": "t", "в": "b", "п": "n", "и": "u", "ь": "b", "ѵ": "v", "ү": "y", "ґ": "r", "ԍ": "g", "є": "e",
+    "α": "a", "ε": "e", "η": "n", "ι": "i", "κ": "k", "μ": "u", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "τ": "t", "υ": "u", "χ": "x", "γ": "y", "ω": "w", "β": "b", "ϲ": "c", "ϳ": "j",
+    "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "զ": "q", "ա": "w", "ք": "p",
+    "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʋ": "v", "ʏ": "y", "ɪ": "i", "ʀ": "r", "ɴ": "n", "ʙ": "b", "ʜ": "h", "ʟ": "l", "ɢ": "g", "ᴀ": "a", "ᴄ": "c", "ᴅ": "d", "ᴇ": "e", "ᴊ": "j", "ᴋ": "k", "ᴍ": "m", "ᴏ": "o", "ᴘ": "p", "ᴛ": "t", "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z",
+    "ø": "o", "đ": "d", "ð": "d", "ħ": "h", "ł": "l", "ŧ": "t", "þ": "p", "ß": "b", "µ": "u", "ƒ": "f", "ɓ": "b", "ɖ": "d", "ɨ": "i", "ɵ": "o", "ʉ": "u", "ƅ": "b", "ʂ": "s", "ʐ": "z",
+})
+# Digits and signs written for letters.
 DIGITS = str.maketrans("0134578@$!|", "oieastbasil")
-#: Benign phrases with a word that may be in a lexicon.
+#: Benign phrases with a word that may be in a lexicon; fit() learns more.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "pond scum", "sore loser")
 SPACED = re.compile(r"[^\w@$!|]+|_+")
 STEMS = range(3, 11)  # letters of the stems considered besides whole words
@@ -68,6 +73,27 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"term": terms, "toxic": [toxic[x] for x in terms], "clean": [clean[x] for x in terms]})
 
 
+def _count_pairs(held):
+    """Two words in a row of which one is a hit of the lexicon, by label."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon: Lexicon = held.value
+        for at in batches:
+            found = (Counter(), Counter())
+            for text, label in zip(at["text"], at["toxic"], strict=True):
+                pairs: set[str] = set()
+                for folded in fold(text):
+                    words = folded.split()
+                    hit = [lexicon.has_hit(f" {w} ") for w in words]
+                    pairs.update(f"{a} {b}" for a, b, x, y in zip(words, words[1:], hit, hit[1:]) if x or y)
+                found[int(label)].update(pairs)
+            clean, toxic = found
+            terms = list(clean | toxic)
+            yield pd.DataFrame({"term": terms, "toxic": [toxic[x] for x in terms], "clean": [clean[x] for x in terms]})
+
+    return run
+
+
 class Lexicon:
     def __init__(self, weights: dict[str, float], exceptions: tuple[str, ...], curve: np.ndarray) -> None:
         self.weights, self.exceptions, self.curve = weights, exceptions, curve
@@ -101,6 +127,9 @@ class Lexicon:
                 at[start] = max(w, at.get(start, 0.0))
         return sum(w for start, w in at.items() if start not in spared)
 
+    def has_hit(self, folded: str) -> bool:
+        return len(self.automaton) > 0 and any(w is not None for _, (_, w) in self.automaton.iter(folded))
+
     def features(self, text: str | None) -> tuple[float, float, float]:
         """Weighted hits, weighted hits a hundred words, and whether there are any. Of the
         terms that match at one place the heaviest counts, of the readings the worst."""
@@ -137,13 +166,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return beta
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, most_terms: int = 3000) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Lexicon:
     """docs (doc_id, text), labels (doc_id, toxic 0/1) -> Lexicon.
 
     Learns from a sample: of each class the `per_class` labels of least hash of the doc_id,
-    with texts that repeat taken once; so what is sent to the driver is bounded by
-    most_terms terms and 2 * per_class triples of numbers. Null labels are ignored. Without
-    rows of both classes the lexicon is empty and every score the share of toxic rows.
+    with texts that repeat taken once (toxic if any of their labels says so); so what is sent
+    to the driver is bounded by the frequent terms of 2 * per_class texts and as many triples of
+    numbers. A pair of words with a hit in it that is surely in clean texts becomes an exception.
+    Null labels are ignored. Without rows of both classes the lexicon is empty and every score
+    the share of toxic rows.
     """
     spark = docs.sparkSession
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
@@ -155,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, most_terms: i
     one = lambda c: known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     sample = one(0).unionByName(one(1))
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null")
-    train = cut(texts.dropDuplicates(["text"]).select("text", "toxic"))
+    train = cut(texts.groupBy("text").agg(F.max("toxic").alias("toxic")))
     n = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return nothing
@@ -163,18 +194,23 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, most_terms: i
     odds = F.log((F.col("t") + 0.5) / (n[1] + 1)) - F.log((F.col("c") + 0.5) / (n[0] + 1))
     sure = odds - 2.0 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     # a sure lower bound of the log odds; each hit must make toxic the likelier label by itself
-    rows = sums.where(F.col("t") >= max(3, 0.002 * n[1])).withColumn("sure", sure).withColumn("odds", odds).where("sure > 1.0").orderBy(F.desc("sure"), "term").limit(most_terms).collect()
+    rows = sums.where(F.col("t") >= max(3, 0.002 * n[1])).withColumn("sure", sure).withColumn("odds", odds).where("sure > 1.0").collect()
     weights: dict[str, float] = {}
     for r in sorted(rows, key=lambda r: (len(r["term"]), r["term"])):
         shorter = [weights[r["term"][:k]] for k in range(1, len(r["term"])) if r["term"][:k] in weights]
         if not shorter or r["odds"] > max(shorter) + 0.7:
             weights[r["term"]] = float(r["odds"])
-    rough = spark.sparkContext.broadcast(Lexicon(weights, EXCEPTIONS, np.zeros(4)))
+    bare = spark.sparkContext.broadcast(Lexicon(weights, EXCEPTIONS, np.zeros(4)))
+    pairs = train.mapInPandas(_count_pairs(bare), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    clean = odds + 2.0 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
+    benign = [r["term"] for r in pairs.where((F.col("c") >= max(3, 0.002 * n[0])) & (clean < -1.0)).collect()]
+    exceptions = tuple(sorted({*EXCEPTIONS, *benign}))
+    rough = spark.sparkContext.broadcast(Lexicon(weights, exceptions, np.zeros(4)))
     x = train.mapInPandas(_features(rough), "a double, b double, c double, toxic int").toPandas()
     y = x["toxic"].to_numpy(float)
     weight = np.where(y == 1, sizes[1] / n[1], sizes[0] / n[0])
     curve = _logistic(x[["a", "b", "c"]].to_numpy(), y, weight * len(y) / weight.sum())
-    return Lexicon(weights, EXCEPTIONS, curve)
+    return Lexicon(weights, exceptions, curve)
 
 
 def _score(held):
