@@ -16,10 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import cut, small_batches
 
-Q = 8
-LEAST = 20  # normalised characters of the shortest item looked for
+Q = 8  # characters of the longest gram
 BLOCK = 4_000_000  # characters of items that are broadcast at once
 CHUNK = 1_500_000  # characters of documents that are looked up at once
 
@@ -35,23 +34,30 @@ def _codes(text: str) -> np.ndarray:
     return (points ^ (points >> np.uint32(8)) * np.uint32(31)).astype(np.uint8)
 
 
-def _grams(codes: np.ndarray) -> np.ndarray:
-    """Q bytes from each place as one integer, without a copy."""
-    return np.ndarray((max(0, len(codes) - Q + 1),), "<u8", codes.tobytes(), 0, (1,))
+def _grams(codes: np.ndarray, q: int) -> np.ndarray:
+    """q bytes from each place as one integer."""
+    padded = np.concatenate([codes, np.zeros(8, np.uint8)]).tobytes()
+    return np.ndarray((max(0, len(codes) - q + 1),), "<u8", padded, 0, (1,)) & np.uint64((1 << 8 * q) - 1)
+
+
+def gram_size(m: int, e: int) -> int:
+    """The longest q, Q at most, that leaves a bound of one shared gram or more: e edits of an item
+    of m characters destroy q * e of its m + 1 - q grams."""
+    return max(1, min(Q, m // (e + 1)))
 
 
 class Index:
-    """q-grams of some items: a bit table to pass over most places, then a sorted list."""
+    """q-grams of some items of one q: a bit table to pass over most places, then a sorted list."""
 
     BITS = 22
 
-    def __init__(self, items: list[tuple[int, str]], edits: float) -> None:
-        self.items = [(i, t) for i, t in ((i, normalised(t)) for i, t in items) if len(t) >= LEAST]
+    def __init__(self, items: list[tuple[int, str]], edits: float, q: int) -> None:
+        self.items, self.q = items, q
         self.size = np.array([len(t) for _, t in self.items], np.int64)
         self.budget = (self.size * edits).astype(np.int64)
-        self.bound = np.maximum(1, self.size + 1 - Q - Q * self.budget)
+        self.bound = self.size + 1 - q - q * self.budget
         self.width = 2 * self.budget + 1
-        grams = [_grams(_codes(t)) for _, t in self.items]
+        grams = [_grams(_codes(t), q) for _, t in self.items]
         every = np.concatenate(grams) if grams else np.empty(0, np.uint64)
         order = np.argsort(every, kind="stable")
         self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order]
@@ -63,11 +69,9 @@ class Index:
     def _slot(self, grams: np.ndarray) -> np.ndarray:
         return (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)
 
-    def bands(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
-        """(text, item, first diagonal, last diagonal) of bands that meet the bound."""
-        joined = ("\0" * Q).join(texts)
-        starts = np.cumsum([0] + [len(t) + Q for t in texts[:-1]])
-        grams = _grams(_codes(joined))
+    def bands(self, codes: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text, item, first diagonal, last diagonal) of bands that meet the bound, in texts joined with Q zeros between."""
+        grams = _grams(codes, self.q)
         if not len(grams) or not len(self.keys):
             return []
         at = np.flatnonzero(self.bits[self._slot(grams)])
@@ -121,46 +125,69 @@ class Index:
 
 def _align(own: str, part: str, lo: int, hi: int, e: int, anchored: bool = False) -> tuple[int, int]:
     """(end in part, edits) of the best alignment of all of own within part, starting on a
-    diagonal lo..hi (or at 0 if anchored) and staying within e of those."""
+    diagonal lo..hi (or at 0 if anchored) and staying within e of those: of the table only these
+    hi - lo + 1 + 2e diagonals are held."""
     s, p = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (own, part))
-    far = len(s) + len(p) + 1
-    at = np.arange(len(p) + 1)
-    row = at.copy() if anchored else np.where((at >= lo) & (at <= hi), 0, far)
+    first, last = lo - e, hi + e
+    diagonal = np.arange(first, last + 1)
+    far, steps = len(s) + len(p) + 1, np.arange(len(diagonal))
+    padded = np.full(len(s) + len(diagonal) + 1, 0xFFFFFFFF, np.uint32)  # the character of part at row i, diagonal d: padded[i + d - first]
+    a, b = max(0, first), min(len(p), first + len(padded))
+    padded[a - first : b - first] = p[a:b]
+    row = np.where((diagonal >= 0) & (diagonal <= len(p)), diagonal if anchored else np.where((diagonal >= lo) & (diagonal <= hi), 0, far), far)
     for i in range(1, len(s) + 1):
-        new = row + 1
-        np.minimum(new[1:], row[:-1] + (p != s[i - 1]), out=new[1:])
-        new = np.minimum.accumulate(new - at) + at
-        new[(at < lo - e + i) | (at > hi + e + i)] = far  # outside the band
+        new = row + (padded[i - 1 : i - 1 + len(row)] != s[i - 1])
+        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
+        new = np.minimum.accumulate(new - steps) + steps
+        if first + i < 0:
+            new[: -(first + i)] = far
+        if last + i > len(p):
+            new[max(0, len(p) - first - i + 1) :] = far
         row = new
-    end = int(row.argmin())
-    return end, int(row[end])
+    k = int(row.argmin())
+    return int(diagonal[k]) + len(s), int(row[k])
 
 
-def _scan(held):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index: Index = held.value
+class Indices:
+    """Items by the length of their grams."""
 
-        def found(ids: list, texts: list[str]) -> pd.DataFrame:
+    def __init__(self, items: list[tuple[int, str]], edits: float) -> None:
+        by_q: dict[int, list[tuple[int, str]]] = {}
+        for i, t in items:
+            t = normalised(t)
+            if t:
+                by_q.setdefault(gram_size(len(t), int(len(t) * edits)), []).append((i, t))
+        self.all = [Index(own, edits, q) for q, own in sorted(by_q.items())]
+
+    def found(self, ids: list, texts: list[str]) -> pd.DataFrame:
+        codes, starts = _codes(("\0" * Q).join(texts)), np.cumsum([0] + [len(t) + Q for t in texts[:-1]])
+        rows = []
+        for index in self.all:
             out: dict[tuple[int, int], tuple[int, int, int]] = {}
-            for t, j, lo, hi in index.bands(texts):
+            for t, j, lo, hi in index.bands(codes, starts):
                 got = index.verify(texts[t], j, lo, hi)
                 if got and got < out.get((t, j), (1 << 30, 0, 0)):
                     out[t, j] = got
-            return pd.DataFrame([(ids[t], index.items[j][0], *got, len(index.items[j][1])) for (t, j), got in out.items()], columns=["doc_id", "item_id", "edits", "start", "end", "item_chars"])
+            rows += [(ids[t], index.items[j][0], *got, len(index.items[j][1])) for (t, j), got in out.items()]
+        return pd.DataFrame(rows, columns=["doc_id", "item_id", "edits", "start", "end", "item_chars"])
+
 
+def _scan(held):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        indices: Indices = held.value
         for at in batches:
             ids, texts, chars = [], [], 0
             for i, text in zip(at["doc_id"], at["text"], strict=True):
                 text = normalised(text)
-                if i is None or i != i or len(text) < LEAST // 2:
+                if i is None or i != i or not text:
                     continue
                 if texts and chars + len(text) > CHUNK:
-                    yield found(ids, texts)
+                    yield indices.found(ids, texts)
                     ids, texts, chars = [], [], 0
                 ids.append(int(i)), texts.append(text)
                 chars += len(text) + Q
             if texts:
-                yield found(ids, texts)
+                yield indices.found(ids, texts)
 
     return run
 
@@ -171,9 +198,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = 0.1) -> D
     edits * item_chars character edits, with the best such place (characters of the
     normalised text: lower case, single spaces).
 
-    All items go to every task, in blocks of at most BLOCK characters, each a pass of its
-    own. Items under LEAST normalised characters, null texts and null ids give no rows;
-    documents without such a passage have none. Other columns are ignored.
+    All items go to every task, in blocks of at most BLOCK characters; with several blocks each
+    is a pass of its own over the documents, whose rows are written before the next block is
+    read, so neither the driver nor a task holds more than one. Items without a character, null
+    texts and null ids give no rows; documents without such a passage have none. Rows that
+    repeat a doc_id or an item are told apart by nothing. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -183,7 +212,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = 0.1) -> D
     out = None
     for k in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).distinct().orderBy("item_id", "text")
-        index = Index([(r["item_id"], r["text"]) for r in mine.collect()], edits)
-        part = docs.select("doc_id", "text").mapInPandas(_scan(spark.sparkContext.broadcast(index)), "doc_id long, item_id long, edits int, start int, end int, item_chars int")
+        held = spark.sparkContext.broadcast(Indices([(r["item_id"], r["text"]) for r in mine.collect()], edits))
+        part = docs.select("doc_id", "text").mapInPandas(_scan(held), "doc_id long, item_id long, edits int, start int, end int, item_chars int")
+        if blocks > 1:
+            part = cut(part)
+            held.destroy()
         out = part if out is None else out.unionByName(part)
     return out
