@@ -121,16 +121,19 @@ def test_bpe_equals_the_library(spark, odd):
     coder = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rnd = random.Random(2)
     rows = [(i, "".join(rnd.choice("ab \n\té字ñ12½!?'sLL😀 ") for _ in range(rnd.randrange(60)))) for i in range(120)] + [(900, None), (901, ""), (902, "a" * 3000), (None, " the")]
+    rows += [(1000 + i, "".join(rnd.choice("漢字仮名交文日本語人大年中ЖшцΩλabcdefgh") for _ in range(rnd.randrange(20, 400)))) for i in range(60)]  # pieces over FOLDED bytes
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for r in bpe.encode_decode(df, ranks, tokenizers.PATTERN).collect():
+    for r in bpe.encode_decode(df, ranks, tokenizers.PATTERN, with_ids=True).collect():
         text = dict(rows)[r["doc_id"]] or ""
         ids = coder.encode_ordinary(text)
+        assert r["ids"] == ids
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
     assert bpe.encode_decode(odd, ranks, tokenizers.PATTERN).count() == odd.count()
 
 
 def test_long_pieces_merge_like_short_ones():
     ranks = {bytes([i]): i for i in range(256)} | {b"ab": 256, b"abab": 257, b"ba": 258}
+    assert bpe.apart(b"xababyba", bpe.side_by_side(ranks)) == [b"x", b"abab", b"y", b"ba"] and bpe.apart(b"x", bpe.side_by_side(ranks)) == [b"x"]
     assert bpe.merge_long(b"ababa", ranks) == [257, 97] and bpe.merge_long(b"", ranks) == []
 
 
@@ -179,7 +182,7 @@ def test_language_of_odd_rows(odd, none):
 
 
 def test_mixture_finds_both_languages():
-    p = np.log(np.array([[0.9, 0.05, 0.5], [0.05, 0.9, 0.5]]) / 1.5)
+    p = np.array([[0.9, 0.05, 0.5], [0.05, 0.9, 0.5]])
     pi = language_mix.mixture(np.array([900, 900]), p[:, :2], 2.0)
     assert np.allclose(pi, 0.5, atol=0.05)
 
@@ -286,6 +289,17 @@ def test_html_layout():
     assert html_text.render(page) == "a\n\nb\n\n- x\n- y\n  1. z\n\nName       N\nlong cell  2\n\n a\n  b\n\nz\n& w"
     assert html_text.render(None) == html_text.render("") == html_text.render("<p hidden>x") == ""
     assert html_text.render("<div>" * 5000 + "deep" + "< 3") == "deep< 3"
+    assert html_text.render("<b>" * 300 + "<i style='display:none'>no</i>" + "</b>" * 300 + "<ol><li>x</ol>") == "1. x"
+
+
+def test_html_tables_lists_and_visibility():
+    assert html_text.render("<table><tr><td rowspan=2>A<td>b1<td>c1<tr><td>b2<td>c2<tr><td>A3<td colspan=2>wide</table>") == "A   b1  c1\n    b2  c2\nA3  wide"
+    assert html_text.render("<table><tr><td>漢字<td>x<tr><td>ab<td>y</table>") == "漢字  x\nab    y"
+    assert html_text.render("<table><tr><td>a<br>b<td>x<tr><td><table><tr><td>i<td>j</table><td>y</table>") == "a     x\nb\ni  j  y"
+    assert html_text.render("<div style='visibility:hidden'>no<p style='visibility: visible'>yes</p>no</div>") == "yes"
+    assert html_text.render("<svg><title>no</title><rect/><text x=1>drawn</text></svg> <math><mi>x</mi></math>") == "drawn x"
+    assert html_text.render("<ol start=3><li>a<li value=7>b<li>c</ol><ol reversed><li>a<li>b</ol>") == "3. a\n7. b\n8. c\n\n2. a\n1. b"
+    assert html_text.render("<input value=shown><input type=hidden value=no><input type=checkbox value=no>") == "shown"
 
 
 def test_licenses(spark, odd, none):
