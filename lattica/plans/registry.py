@@ -13,6 +13,7 @@ from ..functions import exprs as X
 from ..operators import channelise, correlate, timeline
 from ..signal import dsl
 from ..streaming import accumulate as stream_acc
+from . import base, ingest  # noqa: F401  (their queries register themselves)
 
 ANTS, BATCHES = 8, 16
 TAPS, STEP = 4, 16
@@ -167,11 +168,11 @@ def presence_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = e.agg(F.max("event_id").alias("m")).first()["m"]
     grid = timeline.expected_grid(spark, 0, last, 1)
     got = timeline.presence(grid, e.where("event_type <> 'error'").select(F.col("event_id").alias("t")), ["t"])
-    return timeline.good_counts(got.withColumn("block", F.expr("t div 1024")), ["block"], "t", 7).select("t", "present", F.col("good").alias("n_good"), (F.col("good") == 8).alias("valid"))
+    return timeline.good_counts(got, "t", 7, 1024).select("t", "present", F.col("good").alias("n_good"), (F.col("good") == 8).alias("valid"))
 
 
-PRESENCE_SQL = """with g as (select t, t // 1024 as block, (event_id is not null) as present from range((select max(event_id) + 1 from events)) r(t) left join (select event_id from events where event_type <> 'error') e on e.event_id = t)
-select t, present, n_good, n_good = 8 as valid from (select t, present, cast(sum(cast(present as int)) over (partition by block order by t rows between current row and 7 following) as bigint) as n_good from g)"""
+PRESENCE_SQL = """with g as (select t, (event_id is not null) as present from range((select max(event_id) + 1 from events)) r(t) left join (select event_id from events where event_type <> 'error') e on e.event_id = t)
+select t, present, n_good, n_good = 8 as valid from (select t, present, cast(sum(cast(present as int)) over (order by t rows between current row and 7 following) as bigint) as n_good from g)"""
 
 
 def missing_heaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,3 +290,6 @@ ORACLES = {
     "delay_asof": DELAY_SQL, "coarse_runs": RUNS_SQL, "presence_batches": PRESENCE_SQL, "missing_heaps": MISSING_SQL, "heap_rejects": REJECT_SQL, "accum_windows": ACCUM_SQL, "power_dbfs": POWER_SQL,
     "norm_power": NORM_SQL, "gap_fill": GAP_SQL, "unpack10": UNPACK_SQL, "pack4_roundtrip": PACK4_SQL, "vlbi_levels": VLBI_SQL, "signal_cw_comb": CW_SQL, "stream_accum": STREAM_SQL,
 }
+
+QUERIES |= base.QUERIES
+ORACLES |= base.ORACLES
