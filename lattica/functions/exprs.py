@@ -23,13 +23,13 @@ def clamp(x: Column, most: float) -> Column:
 
 
 def quantise(x: Column, bits: int = 8) -> Column:
-    """Clamp to +-(2^(bits-1) - 1), then round half to even."""
-    return F.rint(clamp(x, float(limit(bits)))).cast("int")
+    """Clamp to +-(2^(bits-1) - 1), then round half to even; NaN counts as below all numbers."""
+    return F.rint(F.when(F.isnan(x), float(-limit(bits))).otherwise(clamp(x, float(limit(bits))))).cast("int")
 
 
 def saturated(x: Column, bits: int = 8) -> Column:
-    """Strictly outside the limits before quantising."""
-    return F.abs(x) > float(limit(bits))
+    """Strictly outside the limits before quantising; NaN is."""
+    return F.abs(x) > float(limit(bits))  # NaN is above all numbers
 
 
 def quantise_digitiser(x: Column, bits: int, dither: Column | None = None) -> Column:
@@ -42,10 +42,23 @@ def at_limit(x: Column, bits: int) -> Column:
     return F.abs(x) >= limit(bits)
 
 
+_PRIME = 2**31 - 1
+
+
 def dither(*keys: Column, seed: int = 0) -> Column:
-    """Uniform in (-0.5, 0.5), a function of the keys only."""
-    u = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 24)).cast("double")
-    return (u + 0.5) / float(1 << 24) - 0.5
+    """Uniform in (-0.5, 0.5), a function of seed and keys only, whatever the partitioning: a chain
+    of multiplicative congruences. A whole number plus dither rounds to itself."""
+    h = F.lit(seed % _PRIME).cast("long")
+    for k in keys:
+        h = F.pmod(h * 48271 + F.pmod(k.cast("long"), F.lit(_PRIME)) + 11, F.lit(_PRIME))
+    for factor in (69621, 40692, 16807):
+        h = F.pmod(h * factor + 12345, F.lit(_PRIME))
+    return (h + 0.5) / float(_PRIME) - 0.5
+
+
+def sequence_of(seed: int, first: int, step: int, number: Column) -> Column:
+    """The random sequence of engine `number`: engines that count in steps of their number never share one."""
+    return F.lit(seed) + first + number * step
 
 
 def saturate32(x: Column) -> Column:
@@ -131,8 +144,55 @@ def adc_to_unix(ticks: Column, sync: float, rate: float) -> Column:
     return ticks / rate + sync
 
 
+def div_up(x: Column, step: int) -> Column:
+    return F.ceil(x / step)
+
+
 def round_up(x: Column, step: int) -> Column:
-    return F.ceil(x / step) * step
+    return div_up(x, step) * step
+
+
+def fine_delay(delay: Column, internal_decimation: int) -> Column:
+    """In samples of the channeliser's input."""
+    return delay / internal_decimation
+
+
+def beam_phase(channel: Column, delay: Column) -> tuple[Column, Column]:
+    """exp(j pi c d)."""
+    angle = F.pmod(channel * delay, F.lit(2.0)) * math.pi
+    return F.cos(angle), F.sin(angle)
+
+
+def beam_weight(weight: Column, gain: Column, phase: Column) -> tuple[Column, Column]:
+    """Weight and quantising gain of an antenna in a beam, turned by its fringe phase."""
+    return weight * gain * F.cos(phase), weight * gain * F.sin(phase)
+
+
+def kernel_delay(delay: Column, spacing: float) -> Column:
+    """Half turns a channel of a delay in seconds, channels being `spacing` Hz apart."""
+    return delay * (-2.0 * spacing)
+
+
+def flat_time(batch: Column, spectra: int, t: Column) -> Column:
+    return batch * spectra + t
+
+
+def valid_channel(channel: Column, low: int, channels: int) -> Column:
+    return (channel >= low) & (channel < low + channels)
+
+
+def clock_status(state: Column, error: Column, warn: float, bad: float) -> tuple[Column, Column]:
+    """Status of a clock's state (ok, error, else on its way) and of a bound on its error."""
+    by_state = F.when(state == "ok", "nominal").when(state == "error", "error").otherwise("warn")
+    return by_state, F.when(error < warn, "nominal").when(error < bad, "warn").otherwise("error")
+
+
+def magnitude(re: Column, im: Column) -> Column:
+    return F.hypot(re.cast("double"), im.cast("double"))
+
+
+def decibel(power: Column) -> Column:
+    return F.when(power > 0, 10 * F.log10(power))
 
 
 def mask_timestamp(ts: Column, step: int) -> Column:

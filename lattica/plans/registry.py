@@ -13,7 +13,7 @@ from ..functions import exprs as X
 from ..operators import channelise, correlate, timeline
 from ..signal import dsl
 from ..streaming import accumulate as stream_acc
-from . import base, ingest  # noqa: F401  (their queries register themselves)
+from . import base, fchain, ingest  # noqa: F401  (their queries register themselves)
 
 ANTS, BATCHES = 8, 16
 TAPS, STEP = 4, 16
@@ -98,7 +98,7 @@ def _spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return channelise.dft(channelise.fir(_samples(spark, sf_dir), _weight, TAPS, STEP), STEP)
 
 
-DFT_SQL = f"""{FIR_SQL}, d as (select k, cast(c as int) as chan, sum(y * cos((b * c % {STEP}) * (-2 * pi() / {STEP}))) as re, sum(y * sin((b * c % {STEP}) * (-2 * pi() / {STEP}))) as im from f, range({STEP // 2}) r(c) group by 1, 2)"""
+DFT_SQL = f"""{FIR_SQL}, d as (select k, cast(c as int) as chan, sum(y * cos((b * c % {STEP}) * (-2 * pi() / {STEP}))) as re, sum(y * sin((b * c % {STEP}) * (-2 * pi() / {STEP}))) as im from f, range({STEP // 2}) r(c) group by 1, 2 having count(*) = {STEP})"""
 
 
 def dft_channels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+import secrets
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -92,14 +93,14 @@ class WGN(Signal):
     """Gaussian noise, a function of entropy and sample index: the same on any partitioning."""
 
     std: float
-    entropy: float = 0.0
+    entropy: int = field(default_factory=lambda: secrets.randbits(62))
 
     def column(self, i: Column, n: int, rate: float) -> Column:
-        u = [(F.pmod(F.xxhash64(F.lit(int(self.entropy)), F.lit(k), i), F.lit(1 << 52)) + 0.5) / float(1 << 52) for k in (0, 1)]
+        u = [(F.pmod(F.xxhash64(F.lit(self.entropy), F.lit(k), i), F.lit(1 << 52)) + 0.5) / float(1 << 52) for k in (0, 1)]
         return F.sqrt(-2 * F.log(u[0])) * F.cos(2 * math.pi * u[1]) * self.std
 
     def __str__(self) -> str:
-        return f"wgn({self.std!r}, {int(self.entropy)})"
+        return f"wgn({self.std!r}, {self.entropy})"
 
 
 @dataclass(frozen=True)
@@ -143,6 +144,10 @@ class Combined(Signal):
 FUNCTIONS = {"cw": (CW, 2, 2), "multicw": (MultiCW, 5, 5), "comb": (Comb, 2, 2), "wgn": (WGN, 1, 2), "delay": (Delay, 2, 2), "nodither": (NoDither, 1, 1)}
 
 
+#: Arguments (after signals) that are whole numbers.
+WHOLE = {"multicw": (0,), "wgn": (1,), "delay": (0,)}
+
+
 class _Parser:
     def __init__(self, text: str) -> None:
         self.tokens = [m.group(m.lastindex) for m in TOKEN.finditer(text) if m.lastindex and m.group(m.lastindex).strip()]
@@ -176,8 +181,9 @@ class _Parser:
         left = part()
         while self.peek() and self.peek() in ops:
             op, right = self.take(), part()
-            if not (left.dithered and right.dithered):
-                raise SignalError("nodither can't be an operand")
+            for side in (left, right):
+                if not side.dithered:
+                    raise SignalError(f"{side} can't be an operand")
             left = Combined(op, left, right)
         return left
 
@@ -190,6 +196,8 @@ class _Parser:
             inner = self.total()
             self.take(")")
             return inner
+        if token == "+":
+            return self.factor()
         if token == "-":
             inner = self.factor()
             return Constant(-inner.value) if isinstance(inner, Constant) else Combined("*", Constant(-1.0), inner)
@@ -212,9 +220,17 @@ class _Parser:
         if not least <= len(args) <= most:
             raise SignalError(f"{token} takes {least} to {most} arguments")
         first = 1 if kind in (Delay, NoDither) else 0
-        if any(not isinstance(x, Constant) for x in args[first:]) or (first and not args[0].dithered):
-            raise SignalError(f"wrong kind of argument for {token}")
-        return kind(*args[:first], *(x.value for x in args[first:]))
+        if first and not args[0].dithered:
+            raise SignalError(f"{args[0]} can't be an operand")
+        if any(not isinstance(x, Constant) for x in args[first:]):
+            raise SignalError(f"expected a number as an argument of {token}")
+        values = [x.value for x in args[first:]]
+        for k in WHOLE.get(token, ()):
+            if k < len(values):
+                if values[k] != int(values[k]) or (token != "delay" and values[k] < 0):
+                    raise SignalError(f"expected a whole number as an argument of {token}")
+                values[k] = int(values[k])
+        return kind(*args[:first], *values)
 
 
 def parse(text: str) -> list[Signal]:
