@@ -13,7 +13,7 @@ from ..functions import exprs as X
 from ..operators import channelise, correlate, timeline
 from ..signal import dsl
 from ..streaming import accumulate as stream_acc
-from . import base, fchain, ingest  # noqa: F401  (their queries register themselves)
+from . import base, fchain, ingest, xchain  # noqa: F401  (their queries register themselves)
 
 ANTS, BATCHES = 8, 16
 TAPS, STEP = 4, 16
@@ -54,7 +54,7 @@ from s join ok p on s.acc = p.acc and s.a1 = p.ant join ok q on s.acc = q.acc an
 def beam_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = spark.range(2 * ANTS).select((F.col("id") % 2).cast("int").alias("beam"), F.lit(0).alias("pol"), F.expr("cast(id div 2 as int)").alias("ant"))
     w = w.withColumn("w_re", (F.col("ant") + 1) * 0.25 - F.col("beam") * 0.5).withColumn("w_im", F.col("beam") * 0.125 * F.col("ant"))
-    return correlate.beams(_voltages(spark, sf_dir), w)
+    return correlate.beams(_voltages(spark, sf_dir), w, digits=9)
 
 
 BEAM_SQL = f"""with {V_SQL}, w as (select b as beam, a as ant, (a+1)*0.25::double - b*0.5::double as wr, b*0.125::double*a as wi from range(2) x(b), range({ANTS}) y(a)),
