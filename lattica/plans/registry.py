@@ -13,7 +13,7 @@ from ..functions import exprs as X
 from ..operators import channelise, correlate, timeline
 from ..signal import dsl
 from ..streaming import accumulate as stream_acc
-from . import base, fchain, ingest, qualify, xchain  # noqa: F401  (their queries register themselves)
+from . import base, fchain, ingest, qualify, streams, xchain  # noqa: F401  (their queries register themselves)
 
 ANTS, BATCHES = 8, 16
 TAPS, STEP = 4, 16
