@@ -79,12 +79,17 @@ def read_turns(formatted: Column) -> Column:
     return F.transform(cells, lambda c: F.struct(unescape(F.substr(c[0], F.lit(len(START) + 1))).alias("role"), unescape(c[1]).alias("text")))
 
 
+#: Stands for a null conv_id inside, where joins need a value.
+NO_ID = -(2**63)
+
+
 def linear(rows: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, role, text) -> messages that each reply to the one before.
 
     Order is by turn, then role and text; nulls come first. Repeated rows are turns of their
-    own. A message's score is its length. Rows without a conv_id take no part.
+    own. A message's score is its length. Rows without a conv_id are one conversation, of conv_id NO_ID
+    (as would be rows of that very id).
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = rows.select("conv_id", "turn", "role", "text").where("conv_id is not null").withColumn("node", F.row_number().over(order).cast("long"))
+    rows = rows.select(F.coalesce("conv_id", F.lit(NO_ID)).alias("conv_id"), "turn", "role", "text").withColumn("node", F.row_number().over(order).cast("long"))
     return rows.select("conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.coalesce(F.length("text"), F.lit(0)).cast("double").alias("score"), "role", "text")

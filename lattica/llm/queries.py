@@ -47,7 +47,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     learnt = F.array_join(F.transform("loss_spans", lambda s: chat.unescape(F.substr("formatted", s["start"].cast("int"), s["size"].cast("int")))), "")
     read = done.select("conv_id", turns.alias("turns"), learnt.alias("learnt"), F.length("formatted").cast("long").alias("formatted_chars"))
     return read.select(
-        "conv_id",
+        F.when(F.col("conv_id") != chat.NO_ID, F.col("conv_id")).alias("conv_id"),
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").cast("binary"), 256).alias("turns_sha256"),
         F.length("learnt").cast("long").alias("loss_chars"),
@@ -79,7 +79,7 @@ select query_id, cast(row_number() over w as int) as "rank", vec_id, score from
 
 _CONTROLS = r"<\||</?s>|<<SYS>>|<</SYS>>|\[/?INST\]"
 _WRITTEN = f"length({{0}}) + length({{0}}) - length(replace({{0}}, chr(92), '')) + len(regexp_extract_all({{0}}, '{_CONTROLS}'))"
-CHAT_SQL = f"""with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+CHAT_SQL = f"""with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]')
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
