@@ -70,7 +70,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held[int(label)].update(_terms(fold(text)))
         clean, toxic = held
         terms = list(clean | toxic)
-        yield pd.DataFrame({"term": terms, "toxic": [toxic[x] for x in terms], "clean": [clean[x] for x in terms]})
+        if terms:
+            yield pd.DataFrame({"term": terms, "toxic": [toxic[x] for x in terms], "clean": [clean[x] for x in terms]})
 
 
 def _count_pairs(held):
@@ -89,7 +90,8 @@ def _count_pairs(held):
                 found[int(label)].update(pairs)
             clean, toxic = found
             terms = list(clean | toxic)
-            yield pd.DataFrame({"term": terms, "toxic": [toxic[x] for x in terms], "clean": [clean[x] for x in terms]})
+            if terms:
+                yield pd.DataFrame({"term": terms, "toxic": [toxic[x] for x in terms], "clean": [clean[x] for x in terms]})
 
     return run
 
