@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
+from ..storage import cut, drop, release, shared_dir  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
-    found = spark.conf.get(CHECKPOINT_DIR, None)
-    if not found:
-        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
-    return found
-
-
 BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
@@ -34,42 +24,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
 
 
-_CUTS: dict[str, SparkSession] = {}  # tables written by this process and not deleted yet
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends there, and a
-    lost executor costs a file read, not the stages before it. The table stays until drop()
-    or release()."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._cut_path = path
-    _CUTS[path] = spark
-    return back
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _CUTS.pop(path, None)
-
-
-def drop(*tables: DataFrame | None) -> None:
-    """Delete tables of cut() that nothing reads any more; other DataFrames are left alone."""
-    for df in tables:
-        if (path := getattr(df, "_cut_path", None)) in _CUTS:
-            _delete(df.sparkSession, path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete all tables of cut() of a session, once results have been read or written."""
-    for path in [p for p, s in _CUTS.items() if s is spark]:
-        _delete(spark, path)
-
-
 def free_name(columns: list[str], name: str) -> str:
     """name, with underscores in front until no column has it."""
     taken = {c.lower() for c in columns}
