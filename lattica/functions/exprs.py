@@ -19,7 +19,7 @@ def limit(bits: int) -> int:
 
 
 def clamp(x: Column, most: float) -> Column:
-    return F.greatest(F.least(x, F.lit(most)), F.lit(-most))
+    return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(most)), F.lit(-most)))  # both pass over nulls
 
 
 def quantise(x: Column, bits: int = 8) -> Column:
@@ -62,7 +62,7 @@ def sequence_of(seed: int, first: int, step: int, number: Column) -> Column:
 
 
 def saturate32(x: Column) -> Column:
-    return F.greatest(F.least(x, F.lit(INT32_MAX)), F.lit(-INT32_MAX)).cast("int")
+    return clamp(x, INT32_MAX).cast("int")
 
 
 def pack4(re: Column, im: Column) -> Column:

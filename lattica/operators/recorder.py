@@ -44,7 +44,7 @@ def low_pass(taps: int, cutoff: float) -> np.ndarray:
     return w / w.sum()
 
 
-def sidebands(samples: DataFrame, up: int, down: int, taps: int = 64, share: float = 0.9) -> DataFrame:
+def sidebands(samples: DataFrame, up: int, down: int, taps: int = 96, share: float = 0.9) -> DataFrame:
     """samples (i, re, im), i from 0 -> (n, usb, lsb): complex samples resampled by up / down, and the parts of
     positive and of negative frequency as real samples of that rate.
 
@@ -53,14 +53,12 @@ def sidebands(samples: DataFrame, up: int, down: int, taps: int = 64, share: flo
     sample are left out.
     """
     rate = up / down
-    proto = low_pass(taps * up, min(1.0, rate) * share / 2 / up) * up
     half = min(1.0, rate) * share / 2
     usb_turn = np.exp(2j * np.pi * (half / 2) * (np.arange(taps * up) - (taps * up - 1) / 2) / up)
     band = low_pass(taps * up, half / 2 / up) * up
-    filters = {"usb": band * usb_turn, "lsb": band * usb_turn.conj()}
+    filters = {"usb": band * usb_turn.conj(), "lsb": band * usb_turn}  # applied from the first sample on, so back to front
     step = down
     periods = max(-(-taps // step) + 1, STRETCH // step)
-    del proto
 
     def run(batches):
         for at in batches:
@@ -78,7 +76,7 @@ def sidebands(samples: DataFrame, up: int, down: int, taps: int = 64, share: flo
                 out = {}
                 for name, h in filters.items():
                     by_phase = h.reshape(taps, up)[:, ::-1].T  # [phase, tap]
-                    out[name] = 2 * (window * by_phase[(up - 1 - phase) % up]).sum(axis=1).real
+                    out[name] = 2 * (window * by_phase[phase]).sum(axis=1).real
                 yield pd.DataFrame({"n": part * periods * up + n, **out})[good]
 
     return _stretches(samples, ["re", "im"], step, -(-taps // step) + 1, periods).mapInPandas(run, "n long, usb double, lsb double")

@@ -84,6 +84,21 @@ def accumulate(ticks: DataFrame, width: int) -> DataFrame:
     return ticks.groupBy(F.floor(F.col("t") / width).alias("window")).agg(F.when((F.count("value") == width) & (F.count(F.lit(1)) == width), F.sum("value")).alias("total"))
 
 
+def accumulate_intervals(intervals: DataFrame, width: int) -> DataFrame:
+    """intervals (start, stop, value null if missing) -> (window, total) of each window with any data: null
+    unless its ticks are all covered and every interval gave a value. Intervals are right by
+    interval_errors(): then lengths that add up to the window cover it."""
+    size = F.sum(F.col("stop") - F.col("start"))
+    return intervals.groupBy(F.floor(F.col("start") / width).alias("window")).agg(F.when((size == width) & (F.count("value") == F.count(F.lit(1))), F.sum("value")).alias("total"))
+
+
+def interval_errors(intervals: DataFrame, width: int, block: int = 4096) -> DataFrame:
+    """intervals (number, start, stop) in order of arrival -> those that an accumulator refuses, and why."""
+    before = running(intervals, ["number"], {"_end": ("max", F.col("stop"))}, block, strictly=True)
+    why = F.when(F.col("start") > F.col("stop"), "reversed").when(F.col("stop") > (F.floor(F.col("start") / width) + 1) * width, "crosses a window").when(F.col("start") < F.coalesce("_end", F.lit(0)), "overlaps")
+    return before.withColumn("error", why).where(F.col("error").isNotNull()).drop("_end")
+
+
 def expected_grid(spark, first: int, last: int, step: int) -> DataFrame:
     return spark.range(first, last + 1, step).withColumnRenamed("id", "t")
 

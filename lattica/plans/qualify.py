@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..control import parsers, requests
 from ..functions import exprs as X
-from ..operators import postprocess, quality
+from ..operators import postprocess, quality, timeline
 from ..sinks import tables as sinks
 from .base import query, table
 
@@ -115,6 +115,25 @@ def rate_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(found.low, found.high, found.comparisons, found.confidence)], "low long, high long, comparisons long, confidence double")
 
 
+@query("""with i as (select event_id * 4 as start, event_id * 4 + (case when user_id % 50 = 0 then 3 else 4 end) as stop, case when event_type <> 'error' or value > 20 then cast(round_even(value, 0) as bigint) end as value from events)
+select start // 16 as win, cast(case when sum(stop - start) = 16 and count(value) = count(*) then sum(value) end as bigint) as total from i group by 1""")
+def interval_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements over intervals summed by window, null where any is missing."""
+    i = _e(spark, sf_dir).select((F.col("event_id") * 4).alias("start"), (F.col("event_id") * 4 + F.when(F.col("user_id") % 50 == 0, 3).otherwise(4)).alias("stop"), F.when((F.col("event_type") != "error") | (F.col("value") > 20), F.rint("value").cast("long")).alias("value"))
+    return timeline.accumulate_intervals(i, 16).withColumnRenamed("window", "win")
+
+
+@query("""with i as (select event_id as number, event_id * 4 - (case when user_id % 31 = 0 then 2 else 0 end) as start, event_id * 4 + (case user_id % 37 when 1 then -9 when 2 then 9 else 4 end) as stop from events),
+b as (select *, max(stop) over (order by number rows between unbounded preceding and 1 preceding) as before from i),
+e as (select number, start, stop, case when start > stop then 'reversed' when stop > (cast(floor(start / 16) as bigint) + 1) * 16 then 'crosses a window' when start < coalesce(before, 0) then 'overlaps' end as error from b)
+select * from e where error is not null""")
+def interval_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals that an accumulator refuses."""
+    u = F.col("user_id")
+    i = _e(spark, sf_dir).select(F.col("event_id").alias("number"), (F.col("event_id") * 4 - F.when(u % 31 == 0, 2).otherwise(0)).alias("start"), (F.col("event_id") * 4 + F.when(u % 37 == 1, -9).when(u % 37 == 2, 9).otherwise(4)).alias("stop"))
+    return timeline.interval_errors(i, 16)
+
+
 # -- scalar functions by themselves
 
 
