@@ -196,3 +196,21 @@ def scraped_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.lit("heaps_"), F.col("event_type"), F.lit('_total{stream="a",pol="'), (F.col("event_id") % 2).cast("string"), F.lit('"} '), F.col("user_id").cast("string"), F.lit(".0"))
     lines = e.select(F.explode(F.array(F.lit("# HELP heaps number of heaps"), line)).alias("line"))
     return texts.scraped_counters(lines)
+
+
+@query("""select event_id as ts, event_id % 2 as digitiser_id, user_id as status, 8 + user_id % 3 as heap_len, upper(lpad(to_hex(event_id), 4, '0')) as begins from events where event_id < 1000""")
+def heap_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heaps written to files and read from them."""
+    import uuid
+
+    from ..sources import datasource
+    from ..storage import shared_dir
+
+    datasource.register(spark)
+    folder = f"{shared_dir(spark)}/heaps-{uuid.uuid4().hex}"
+    zero = F.lit(0).cast("long")
+    payload = F.concat(F.unhex(F.lpad(F.hex("event_id"), 4, "0")), F.unhex(F.repeat(F.lit("AB"), (F.col("user_id") % 3 + 6).cast("int"))))
+    e = table(spark, sf_dir, "events").where("event_id < 1000")
+    e.select(F.lit(8).cast("long").alias("heap_len"), F.col("event_id").alias("ts"), (F.col("event_id") % 2).alias("digitiser_id"), F.col("user_id").alias("status"), zero.alias("feng_id"), zero.alias("frequency"), zero.alias("beam_ants"), payload.alias("payload")).write.format("heaps").mode("append").save(folder)
+    back = spark.read.format("heaps").load(folder)
+    return back.select("ts", "digitiser_id", "status", "heap_len", F.upper(F.hex(F.substring("payload", 1, 2))).alias("begins"))
