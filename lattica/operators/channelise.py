@@ -37,6 +37,22 @@ def dft(rows: DataFrame, size: int) -> DataFrame:
     return turned.groupBy("k", "chan").agg(F.sum(F.col("y") * F.cos(angle)).alias("re"), F.sum(F.col("y") * F.sin(angle)).alias("im"), F.count("y").alias("n")).where(F.col("n") == size).drop("n")
 
 
+def fir_joined(samples: DataFrame, weights: DataFrame, taps: int, step: int) -> DataFrame:
+    """The same by a join with a weight table (tap, b, w), for weights that change or come from elsewhere: sample
+    i meets the `taps` weights of its branch. The table has taps * step rows."""
+    n = F.col("i")
+    rows = samples.select(F.floor(n / step).alias("row"), F.pmod(n, F.lit(step)).cast("int").alias("b"), "x")
+    out = rows.join(weights, "b").select((F.col("row") - F.col("tap")).alias("k"), "b", (F.col("w") * F.col("x")).alias("p")).where("k >= 0")
+    return out.groupBy("k", "b").agg(F.sum("p").alias("y"), F.count("p").alias("n")).where(F.col("n") == taps).drop("n")
+
+
+def dft_joined(rows: DataFrame, twiddles: DataFrame, size: int) -> DataFrame:
+    """rows (k, b, y) by a join with a table (b, chan, c, s) of turns, size * channels rows."""
+    met = rows.join(twiddles, "b")
+    out = met.groupBy("k", "chan").agg(F.sum(F.col("y") * F.col("c")).alias("re"), F.sum(F.col("y") * F.col("s")).alias("im"), F.count("y").alias("n"))
+    return out.where(F.col("n") == size).drop("n")
+
+
 def ddc(samples: DataFrame, weights, taps: int, subsample: int, num: int, den: int) -> DataFrame:
     """samples (i, x) -> (n, re, im): mix by exp(2 pi j i num / den) (an exact rational
     phase), filter, keep every subsample-th output that has all its samples."""

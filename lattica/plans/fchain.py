@@ -239,3 +239,27 @@ def dithered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dither by key: whole numbers survive it, and engines have sequences of their own."""
     e, d = table(spark, sf_dir, "events"), X.dither(F.col("user_id"), F.col("event_id"), seed=9)
     return e.select("event_id", F.round(d, 9).alias("d"), F.rint(F.col("event_id") + d).cast("long").alias("whole"), F.round(X.dither(F.col("event_id"), seed=7 + 3 * 5), 9).alias("other"))
+
+
+JOINED_SQL = """x as (select event_id as i, round_even((value - 20) * 8, 0) as x from events), w as (select t as tap, b, (t * 8 + b + 1) / 67.3::double as w from range(4) u(t), range(8) v(b)),
+f as (select i // 8 - tap as k, cast(b as int) as b, sum(w * x) as y from x join w on i % 8 = b where i // 8 - tap >= 0 group by 1, 2 having count(*) = 4)"""
+
+
+def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "events").select(F.col("event_id").alias("i"), F.rint((F.col("value") - 20) * 8).alias("x"))
+    weights = spark.range(32).select(F.expr("id div 8").alias("tap"), (F.col("id") % 8).cast("int").alias("b"), ((F.col("id") + 1) / 67.3).alias("w"))
+    return channelise.fir_joined(x, weights, 4, 8)
+
+
+@query(f"with {JOINED_SQL} select k, b, round(y + 0.0, 6) as y from f")
+def fir_weight_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter whose weights are a table."""
+    return _weighted(spark, sf_dir).select("k", "b", _tidy("y").alias("y"))
+
+
+@query(f"with {JOINED_SQL} select k, cast(c as int) as chan, round(sum(y * cos(b * c * (-2 * pi() / 8))) + 0.0, 4) as re, round(sum(y * sin(b * c * (-2 * pi() / 8))) + 0.0, 4) as im from f, range(4) r(c) group by 1, 2 having count(*) = 8")
+def dft_twiddle_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A transform whose turns are a table."""
+    angle = F.expr("id div 4") * (F.col("id") % 4) * (-2 * math.pi / 8)
+    turns = spark.range(32).select(F.expr("cast(id div 4 as int)").alias("b"), (F.col("id") % 4).cast("int").alias("chan"), F.cos(angle).alias("c"), F.sin(angle).alias("s"))
+    return channelise.dft_joined(_weighted(spark, sf_dir), turns, 8).select("k", "chan", _tidy("re", 4).alias("re"), _tidy("im", 4).alias("im"))

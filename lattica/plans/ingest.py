@@ -42,6 +42,12 @@ def digitiser_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.groupBy("chunk", "pol", "batch").agg(F.count(F.lit(1)).alias("copies"), F.max("saturated").alias("saturated"))
 
 
+@query(f"with {DIG_SQL} select arrival, chunk, ts, row_number() over (partition by chunk order by ts, arrival) - 1 as place from p where reason is null")
+def time_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heaps of open chunks put in order of time."""
+    return H.reordered(_digitised(spark, sf_dir)).select("arrival", "chunk", "ts", F.col("place").cast("long").alias("place"))
+
+
 @query(f"with {DIG_SQL} select coalesce(reason, 'taken') as reason, pol, count(*) as heaps, cast(sum(heap_len) as bigint) as bytes from p group by 1, 2")
 def receive_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heaps taken and dropped, by reason."""

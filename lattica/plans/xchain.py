@@ -246,3 +246,12 @@ def sideband_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean power of each second, polarisation and sideband, as recorded."""
     x = table(spark, sf_dir, "events").select(F.expr("event_id div 1000").alias("second"), (F.col("user_id") % 2).alias("pol"), F.col("event_type").isin("click", "view").alias("upper"), (F.col("value") - 25).alias("x"))
     return x.groupBy("second", "pol", "upper").agg(F.round(F.avg(F.col("x") * F.col("x")), 4).alias("mean_power"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""with {pols_sql(200, 127)}, p as (select ts, ant, chan, sum(case when pol = 0 then re else 0 end)::double r0, sum(case when pol = 1 then re else 0 end)::double r1, sum(case when pol = 0 then im else 0 end)::double i0, sum(case when pol = 1 then im else 0 end)::double i1 from v group by 1, 2, 3)
+select ts, ant, chan, cast(q as int) as pol, round(sqrt(0.5) * r0 - (case when q = 0 then 1 else -1 end) * sqrt(0.5) * i1 + 0.0, 6) as re, round(sqrt(0.5) * i0 + (case when q = 0 then 1 else -1 end) * sqrt(0.5) * r1 + 0.0, 6) as im from p, range(2) t(q)""")
+def circular_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linear polarisations as circular ones, by complex factors."""
+    h = 0.5**0.5
+    out = correlate.basis(_both_pols(spark, sf_dir, 200, 8), [[h, 1j * h], [h, -1j * h]])
+    return out.select("ts", "ant", "chan", "pol", F.round(F.col("re") + 0.0, 6).alias("re"), F.round(F.col("im") + 0.0, 6).alias("im"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, ByteType, IntegerType, LongType, ShortType, StructField, StructType
 
@@ -89,6 +89,13 @@ def merged_streams(*streams: DataFrame, label: str = "pol") -> DataFrame:
     return out
 
 
+def reordered(heaps: DataFrame) -> DataFrame:
+    """Placed heaps that were taken, with their place in their chunk by time: what a window of open chunks puts right.
+    A chunk has as many heaps as its layout says."""
+    w = Window.partitionBy("chunk").orderBy("ts", "arrival")
+    return heaps.where("reason is null").withColumn("place", F.row_number().over(w) - 1)
+
+
 def assembled(heaps: DataFrame, keys: list[str], positions: int) -> DataFrame:
     """Placed heaps (chunk, index, ...) against the whole grid of their chunks: (keys, chunk, index,
     present). Chunks without any heap don't appear."""

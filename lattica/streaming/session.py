@@ -69,3 +69,13 @@ def fan_out(batch: DataFrame, outputs: list[Callable[[DataFrame], None]]) -> Non
     for write in outputs:
         write(batch)
     batch.unpersist()
+
+
+def dispatched(stream: DataFrame, reason: str, take: Callable[[DataFrame], None], discard: Callable[[DataFrame], None], path: str) -> StreamingQuery:
+    """Run a stream whose rows have a reason to be dropped, or none: rows without one go to `take`, the others
+    to the `discard` hook, batch by batch."""
+
+    def each(batch: DataFrame, _: int) -> None:
+        fan_out(batch, [lambda b: take(b.where(F.col(reason).isNull())), lambda b: discard(b.where(F.col(reason).isNotNull()))])
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", path).trigger(availableNow=True).start()

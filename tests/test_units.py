@@ -335,3 +335,11 @@ def test_silent_sensors_and_sessions(spark, tmp_path):
     kept = []
     session.fan_out(heaps, [lambda b: kept.append(b.count()), lambda b: kept.append(b.where("ts > 7").count())])
     assert kept == [10, 2]
+    out = {"taken": 0, "dropped": 0}
+
+    def counts(kind):
+        return lambda b: out.__setitem__(kind, out[kind] + b.count())
+
+    marked = spark.readStream.schema("ts long").parquet(str(tmp_path / "heaps")).withColumn("reason", F.when(F.col("ts") % 3 == 0, "odd"))
+    session.dispatched(marked, "reason", counts("taken"), counts("dropped"), str(tmp_path / "hook")).awaitTermination()
+    assert out == {"taken": 6, "dropped": 4}
