@@ -214,7 +214,15 @@ def test_repeated_passages(spark, odd, none):
     assert (got[5]["start_word"], got[5]["end_word"]) == (90, 160) and got[7]["end_word"] - got[7]["start_word"] > 60
     left = {r["doc_id"]: r["text"] for r in passages.remove(spark.createDataFrame(rows, "doc_id long, text string"), passages.repeated(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     assert len(left[5].split()) == 150 and left[2] == dict(rows)[2]
-    assert passages.repeated(odd).where("doc_id <> 6").isEmpty() and passages.repeated(none).isEmpty()
+    assert passages.repeated(odd).where("doc_id <> 6").isEmpty() and passages.repeated(odd, within=True).where("doc_id not in (5, 6)").isEmpty() and passages.repeated(none).isEmpty()
+
+
+def test_second_copies_in_a_document(spark):
+    rnd = random.Random(4)
+    p, own = words(rnd, 60, 10**6), words(rnd, 60, 10**6)
+    rows = [(1, " ".join(p)), (2, " ".join(p + words(rnd, 30, 10**6) + p + own + words(rnd, 20, 10**6) + own))]
+    got = sorted((r["start_word"], r["src_doc_id"]) for r in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 1), (90, 2)]
 
 
 def covered(found, doc):
@@ -240,7 +248,10 @@ def test_passages_of_frequent_lines_and_within_documents(spark):
             if (run := tuple(own[p : p + 40])) in seen:
                 expected[i] |= set(range(p, p + 40))
             seen.add(run)
-    found = passages.repeated(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string")).collect()
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string")
+    across = passages.repeated(df).collect()
+    assert {r["doc_id"] for r in across} == {145, 146, 151} and not any(r["src_doc_id"] == r["doc_id"] for r in across)
+    found = passages.repeated(df, within=True).collect()
     for i in expected:
         assert expected[i] <= covered(found, i) and len(covered(found, i) - expected[i]) <= 8
     assert all(r["src_doc_id"] < r["doc_id"] or r["src_start"] < r["start_word"] for r in found)
