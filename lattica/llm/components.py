@@ -9,15 +9,13 @@ from .common import cut, drop
 
 
 def _roots(parent: DataFrame) -> DataFrame:
-    """Pointer jumping: (node, up) with up <= node becomes (node, root) in log2(depth) joins."""
+    """Pointer jumping: (node, up) with up <= node becomes (node, root), two jumps a table."""
     parent = cut(parent)
     while True:
-        above = parent.select(F.col("node").alias("_n"), F.col("up").alias("_up"))
-        jumped = cut(
-            parent.join(above, F.col("up") == F.col("_n"), "left").select(
-                "node", F.coalesce("_up", "up").alias("up"), (F.coalesce("_up", "up") != F.col("up")).alias("moved")
-            )
-        )
+        once, again = (parent.select(F.col("node").alias(f"_n{k}"), F.col("up").alias(f"_u{k}")) for k in (1, 2))
+        first = parent.join(once, F.col("up") == F.col("_n1"), "left").select("node", F.coalesce("_u1", "up").alias("_near"))
+        second = first.join(again, F.col("_near") == F.col("_n2"), "left")
+        jumped = cut(second.select("node", F.coalesce("_u2", "_near").alias("up"), (F.coalesce("_u2", "_near") != F.col("_near")).alias("moved")))
         drop(parent)
         parent = jumped
         if jumped.where("moved").isEmpty():
