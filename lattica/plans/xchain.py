@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import correlate, postprocess, timeline
+from ..operators import correlate, postprocess
 from ..sinks import tables as sinks
 from .base import query, table
 from .fchain import dither_sql
