@@ -197,6 +197,7 @@ class _Sets:
     def __init__(self, docs: DataFrame, nodes: DataFrame, repeats: bool, width: int, percent: int) -> None:
         self.docs, self.nodes, self.repeats, self.width, self.percent = docs, nodes, repeats, width, percent
         self.held: DataFrame | None = None
+        self.tables: list[DataFrame] = []
 
     def add(self, pairs: DataFrame) -> None:
         """Make sure that the sets of all ends of pairs are held."""
@@ -210,6 +211,7 @@ class _Sets:
             texts = self.docs.join(few, ["doc_id", "text_hash"])
             texts = texts.dropDuplicates(["node"]) if self.repeats else texts
             more = cut(texts.select("node", "text").mapInPandas(_hashed(self.width), "node long, own binary"))
+            self.tables.append(more)
             self.held = more if self.held is None else self.held.unionByName(more)
         drop(needed)
 
@@ -349,36 +351,44 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     many = known.select("doc_id", "digest").distinct().groupBy("doc_id").agg(F.min("digest").alias("one"), F.count(F.lit(1)).alias("n")).where("n > 1")
     same = known.join(many, "doc_id").where("digest <> one").select("digest", "one").distinct().join(number.select("digest", F.col("node").alias("a")), "digest").join(number.select(F.col("digest").alias("one"), F.col("node").alias("b")), "one").select("a", "b")
     links = cut(same)
+    found = [links]
+
+    def more(confirmed: DataFrame) -> DataFrame:
+        found.append(confirmed)
+        return links.unionByName(confirmed)
 
     pairs = candidates(nodes, whole=False)
     likeliest = pairs.groupBy("b").agg(F.max(F.struct("trees", (-F.col("a")).alias("_a"))).alias("m")).select((-F.col("m._a")).alias("a"), "b")
     held.add(pairs)
-    links = links.unionByName(held.confirm(likeliest))
+    links = more(held.confirm(likeliest))
     rooted = _rooted(nodes, links)
     drop(pairs)
     crowded = _crowded(rooted)
     if not crowded.isEmpty():
         hubs = _hub_pairs(crowded, links)
-        links = links.unionByName(held.confirm(hubs))
+        links = more(held.confirm(hubs))
         drop(hubs, rooted)
         rooted = _rooted(nodes, links)
     drop(crowded)
     pairs = candidates(rooted, whole=True)
-    links = links.unionByName(held.confirm(pairs))
+    links = more(held.confirm(pairs))
     drop(pairs, rooted)
     rooted = _rooted(nodes, links)
     crowded = _crowded(rooted)
     if not crowded.isEmpty():
-        links = links.unionByName(_rest_links(crowded, held, nodes))
+        links = more(_rest_links(crowded, held, nodes))
         drop(rooted)
         rooted = _rooted(nodes, links)
     drop(crowded)
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("_component"))
     named = rooted.select("digest", "root").join(least, "root").select("digest", "_component")
     by_id = named.join(known.select("digest", "doc_id").distinct(), "digest").groupBy("doc_id").agg(F.min("_component").alias("_component"))
-    return sets.join(by_id, "doc_id", "left").select(
+    out = sets.join(by_id, "doc_id", "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id")).alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("_component", "doc_id"), F.lit(True)).alias("kept"),
     )
+    out = cut(out)
+    drop(sets, nodes, rooted, *held.tables, *found)
+    return out
