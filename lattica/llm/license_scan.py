@@ -161,20 +161,23 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, share: float
     """
     spark = docs.sparkSession
     known, brief = _templates(spark, [*TEMPLATES.items(), *NOTICES] if templates is None else list(templates.items()) or [("", "")])
-    listed = known.collect()  # one row a template, fixed in number
-    classes = sorted({r["c"] for r in listed}) or [1]
-    # the shingles that give a template's bands their minima
-    least = known.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.array_min(F.transform("of", lambda x: F.struct(F.xxhash64(x, j), x.alias("x")))))["x"]).alias("x"))
-    every = sorted({r["x"] for r in least.distinct().collect()}) or [0]  # at most BANDS a template
+    # the shingles that give a template's bands their minima, by size class; at most BANDS a template
+    least = known.select("c", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.array_min(F.transform("of", lambda x: F.struct(F.xxhash64(x, j), x.alias("x")))))["x"]).alias("x"))
+    of_class: dict[int, list[int]] = {}
+    for r in least.distinct().orderBy("c", "x").collect():
+        of_class.setdefault(r["c"], []).append(r["x"])
+    of_class = of_class or {1: [0]}
+    every = sorted({x for xs in of_class.values() for x in xs})
     own = docs.select("doc_id", shingles(F.col("text")).alias("s")).where("doc_id is not null")
-    hits = own.withColumn("at", F.filter(F.transform("s", lambda x, i: F.when(x.isin(every), i)), lambda i: i.isNotNull())).where(F.size("at") > 0)
+    hits = own.withColumn("at", F.filter(F.transform("s", lambda x, i: F.when(x.isin(every), F.struct(x.alias("x"), i.alias("i")))), lambda h: h.isNotNull())).where(F.size("at") > 0)
 
     def around(c: int) -> Column:
-        """The windows that a hit at i is in: i div c and the one before."""
-        near = F.array_distinct(F.flatten(F.transform("at", lambda i: F.array(F.greatest(F.floor(i / c) - 1, F.lit(0)), F.floor(i / c)))))
+        """The windows of size c that a hit of its templates at i is in: i div c and the one before."""
+        mine = F.filter("at", lambda h: h["x"].isin(of_class[c]))
+        near = F.array_distinct(F.flatten(F.transform(mine, lambda h: F.array(F.greatest(F.floor(h["i"] / c) - 1, F.lit(0)), F.floor(h["i"] / c)))))
         return F.transform(near, lambda k: F.struct(F.lit(c).alias("c"), k.cast("int").alias("k")))
 
-    windows = hits.select("doc_id", "s", F.explode(F.flatten(F.array(*map(around, classes)))).alias("w"))
+    windows = hits.select("doc_id", "s", F.explode(F.flatten(F.array(*map(around, of_class)))).alias("w"))
     part = windows.select("doc_id", F.col("w.c").alias("c"), (F.col("w.c") * F.col("w.k")).alias("start"), F.array_distinct(F.slice("s", F.col("w.c") * F.col("w.k") + 1, 2 * F.col("w.c"))).alias("part"))
     bands = part.select("doc_id", "c", "start", "part", F.posexplode(_minima(F.col("part"))).alias("band", "value"))
     sought = known.select("license", "notice", "of", F.col("c").alias("_c"), F.posexplode(_minima(F.col("of"))).alias("_band", "_value"))
