@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, give_back, small_batches
 
 PACK = 11_000_000  # characters whose pieces are told apart together
 SAMPLE, CACHE = 20_000, 300_000  # documents looked at for frequent pieces; most pieces folded ahead
@@ -197,6 +197,8 @@ def _pieces_to_fold(pattern: str, held):
                 found.update(set(find(text.as_py() or "")))
         raw = [(x, n) for x, n in ((p.encode(), n) for p, n in found.items()) if len(x) <= FOLDED and x not in ranks]
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in raw], pa.binary()), pa.array([n for _, n in raw], pa.int64())], names=["piece", "n"])
+        del found, raw, ranks
+        give_back()
 
     return run
 
@@ -206,14 +208,14 @@ def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("piece"), pa.array([[list(x)] for x in batch.column("piece").to_pylist()], pa.list_(pa.list_(pa.int32())))], names=["piece", "pieces"])
 
 
-def folded_ahead(docs: DataFrame, ranks: dict[bytes, int], pattern: str, held) -> bytes:
-    """An Arrow stream of (piece, ids), packed for the driver: ids of the pieces that most of about SAMPLE documents have, CACHE pieces at
+def folded_ahead(docs: DataFrame, ranks: dict[bytes, int], pattern: str, held, most: int) -> bytes:
+    """An Arrow stream of (piece, ids), packed for the driver: ids of the pieces that most of about SAMPLE documents have, `most` pieces at
     most: each is folded once here instead of once in every task. What a task doesn't find
     here it folds itself."""
     share = min(1.0, SAMPLE / max(1, docs.count()))
     sample = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
     counted = sample.mapInArrow(_pieces_to_fold(pattern, held), "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    pieces = cut(counted.where("n > 1").orderBy(F.desc("n"), "piece").limit(CACHE).select("piece").repartition("piece"))
+    pieces = cut(counted.where("n > 1").orderBy(F.desc("n"), "piece").limit(most).select("piece").repartition("piece"))
     rows = pieces.mapInArrow(_as_bytes, "piece binary, pieces array<array<int>>").select("piece", folded_ids("pieces", ranks)[0].alias("ids")).toArrow()
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, rows.schema) as out:
@@ -231,7 +233,7 @@ def _ahead_of(stream: bytes) -> dict[bytes, bytes]:
     return found
 
 
-def _packed(pattern: str, held, ahead):
+def _packed(pattern: str, held, ahead, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, ranks, cached = regex.compile(pattern).findall, held.value, _ahead_of(ahead.value)
         together = side_by_side(ranks)
@@ -281,11 +283,13 @@ def _packed(pattern: str, held, ahead):
                 runs.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
                 docs.append(doc)
                 chars += len(text) + 16
-                if chars >= PACK:
+                if chars >= size:
                     yield pack()
                     docs, runs, numbers, chars = [], [], _Numbers(), 0
         if docs:
             yield pack()
+        del docs, runs, numbers, cached, ranks
+        give_back()
 
     return run
 
@@ -322,13 +326,16 @@ def _joined(held, with_ids: bool):
                         out[3].append(np.frombuffer(ids, "<u4").astype(np.int32))
                 columns = [pa.array(value("docs").as_py(), pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(out[3], pa.list_(pa.int32()))] * with_ids, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
+        del token
+        give_back()
 
     return run
 
 
-def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False, pack: int = PACK, ahead_of: int = CACHE) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, n_tokens, ids_sha256, decoded_sha256) and, if with_ids,
-    ids array<int>; a row for each input row.
+    ids array<int>; a row for each input row. pack (characters whose pieces are told apart together) and ahead_of
+    (pieces folded ahead) trade memory of a task for time; results don't depend on them.
 
     Every match of pattern is merged by itself, no special tokens; a piece that is a token
     is that token. ids_sha256 is over the ids as little-endian unsigned 32-bit integers,
@@ -338,7 +345,7 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_i
     """
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(ranks)
-    ahead = docs.sparkSession.sparkContext.broadcast(folded_ahead(docs, ranks, pattern, held))
-    packs = docs.select("doc_id", "text").mapInArrow(_packed(pattern, held, ahead), _PACK)
+    ahead = docs.sparkSession.sparkContext.broadcast(folded_ahead(docs, ranks, pattern, held, ahead_of))
+    packs = docs.select("doc_id", "text").mapInArrow(_packed(pattern, held, ahead, pack), _PACK)
     done = packs.withColumn("encoded", folded_ids("pieces", ranks)).drop("pieces")
     return done.mapInArrow(_joined(held, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

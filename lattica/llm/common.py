@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +28,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on for the tasks of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def free_name(columns: list[str], name: str) -> str:
     """name, with underscores in front until no column has it."""
     taken = {c.lower() for c in columns}

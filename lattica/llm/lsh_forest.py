@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, cut, drop, mix, shingle_hashes, small_batches, to_long, word_hashes
+from .common import WordHash, cut, drop, give_back, mix, shingle_hashes, small_batches, to_long, word_hashes
 from .components import components
 
 TREES, DEPTH, LEAST = 16, 6, 3  # signature layout; shortest common prefix of candidates
@@ -70,6 +70,8 @@ def _sets(width: int):
                 digest.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
                 sig.append(signature(own).tobytes() if len(own) else None)
             yield pd.DataFrame({"doc_id": at["doc_id"], "text_hash": at["text_hash"], "n_shingles": n, "digest": digest, "sig": sig})
+        del cache
+        give_back()
 
     return run
 
@@ -145,6 +147,8 @@ def _pairs(whole: bool):
             seam = at[inside]
             seam = pd.concat([seam.iloc[side], seam.iloc[[int(nodes[inside].argmin())]]])
             yield seam.assign(a=None, b=None, trees=None).astype({x: "Int64" for x in ("a", "b", "trees")})[["a", "b", "trees", *_COLUMNS]]
+        del parts, at, keys, nodes, root, got, a, b
+        give_back()
 
     return run
 
@@ -187,6 +191,8 @@ def _hashed(width: int):
         cache = WordHash()
         for at in batches:
             yield pd.DataFrame({"node": at["node"], "own": [shingle_set(t, width, cache).tobytes() for t in at["text"]]})
+        del cache
+        give_back()
 
     return run
 
