@@ -55,7 +55,7 @@ def remainder(column: str, n: int):
 class WordHash(dict):
     """Word bytes -> 64-bit hash, cached; emptied before it grows past `limit` words."""
 
-    limit = 150_000
+    limit = 60_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > self.limit:
