@@ -257,6 +257,21 @@ def test_passages_of_frequent_lines_and_within_documents(spark):
     assert all(r["src_doc_id"] < r["doc_id"] or r["src_start"] < r["start_word"] for r in found)
 
 
+def test_passages_of_frequent_seeds_alone(spark):
+    """An equal run of 40 words of which every seed is in many documents before, between and after its two owners;
+    in the second case one more document, before them, has the run without its last two words."""
+    rnd = random.Random(12)
+    run = words(rnd, 40, 10**6)
+    pad = lambda: words(rnd, 30, 10**6)
+    parts = [run[k : k + 20] for k in range(0, 21, 5) for _ in range(10)]
+    for short in ([], [run[:38]]):
+        docs = [pad() + x + pad() for x in [*parts, *short, run, *parts, run, *parts]]
+        found = passages.repeated(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string")).collect()
+        first, second = len(parts) + len(short), 2 * len(parts) + len(short) + 1
+        assert set(range(30, 70)) <= covered(found, second) and {r["src_doc_id"] for r in found if r["doc_id"] == second} == {first}
+        assert {r["doc_id"] for r in found} == {second}
+
+
 def test_fuzzy_passages_are_recalled(spark):
     """Words substituted at random, 50-word passages: share found at 10 and 14 % changed."""
     rnd = random.Random(9)
