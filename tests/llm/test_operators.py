@@ -272,6 +272,22 @@ def test_passages_of_frequent_seeds_alone(spark):
         assert {r["doc_id"] for r in found} == {second}
 
 
+def test_links_by_parts_equal_those_of_a_whole_bucket():
+    """Seeds are linked a part at a time: no row is lost, no seed is split."""
+    rnd = random.Random(13)
+    shared = words(rnd, 60, 10**6)
+    texts = [words(rnd, 50, 30) + (shared if i % 3 else []) + words(rnd, 50, 10**6) for i in range(40)]
+    cache = WordHash()
+    columns, _ = passages.seeds_of(np.arange(40), [passages.word_hashes([w.encode() for w in x], cache) for x in texts], 37)
+    parts = list(passages.parts_of(columns[0], 100))
+    seen = [set(columns[0][p].tolist()) for p in parts]
+    assert len(parts) > 5 and sorted(np.concatenate(parts)) == list(range(len(columns[0]))) and sum(map(len, seen)) == len(set().union(*seen))
+    whole = passages.links_of(*columns, 37)
+    found = passages.merged(*(np.concatenate(x) for x in zip(*(passages.links_of(*(c[p] for c in columns), 37) for p in parts), strict=True)))
+    assert len(whole[0]) > 20 and set(zip(*(x.tolist() for x in found), strict=True)) == set(zip(*(x.tolist() for x in whole), strict=True))
+    assert [len(p) for p in passages.parts_of(np.empty(0, np.uint64), 100)] == [0]
+
+
 def test_fuzzy_passages_are_recalled(spark):
     """Words substituted at random, 50-word passages: share found at 10 and 14 % changed."""
     rnd = random.Random(9)
