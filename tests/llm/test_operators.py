@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,27 @@ def test_pairs_alike_to_nothing_else_of_a_crowded_region(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in lsh_forest.near_duplicates(df, 3, 85).collect()} == want
 
 
+def test_ends_of_pairs_are_told_once(spark):
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (2, 3), (4, 1)], "a long, b long")
+    ends = lsh_forest._ends(pairs)
+    assert sorted(r["node"] for r in ends.collect()) == [1, 2, 3, 4] and ends.columns == ["node"]
+
+
+def test_candidates_grow_with_the_nodes_of_a_group():
+    """Of one group of near copies: pairs a node don't grow with the group."""
+    rnd, cache, a_node = random.Random(1), WordHash(), []
+    base = words(rnd, 120, 10**6)
+    for n in (300, 1200):
+        sigs = [lsh_forest.signature(lsh_forest.shingle_set(" ".join([*base[:k], f"new{n}x{i}", *base[k:]]), 3, cache)).tobytes() for i in range(n) for k in [rnd.randrange(120)]]
+        (at,) = lsh_forest._tree_rows([pd.DataFrame({"node": range(n), "root": range(n), "sig": sigs})])
+        at = at.sort_values(lsh_forest._KEYS)
+        node = at["node"].to_numpy(np.int64)
+        for whole in (False, True):
+            pairs = node[lsh_forest._neighbours(at[lsh_forest._KEYS[:-1]].to_numpy(np.int64), node, whole)]
+            a_node.append(len(np.unique(np.sort(pairs, axis=1), axis=0)) / n)
+    assert a_node[2] < 1.5 * a_node[0] and a_node[3] < 1.5 * a_node[1] and max(a_node) < 100
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["component_id"], r["n_shingles"] > 0) for r in lsh_forest.near_duplicates(odd).collect())
     assert got == [(-1, None, True), (1, 1, False), (2, 2, False), (3, 3, False), (4, 4, True), (4, 4, True), (5, 5, True), (6, 5, True), (7, 7, True)]
