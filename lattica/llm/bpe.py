@@ -1,10 +1,10 @@
 """Byte-level BPE: ranked merges folded by Spark's higher-order functions.
 
 Each task splits its texts into pieces and keeps the distinct ones of a few million
-characters as one row: the pieces' byte arrays, and the texts as runs of piece numbers.
-The rank map is a literal: every mergeable pair of token ids with the id (= rank) of the
+characters as one row: the fold's first state of each piece, and the texts as runs of piece numbers.
+The rank map comes with that row: every mergeable pair of token ids with the id (= rank) of the
 merged token, laid out so that a look-up inside a lambda is two array reads. A fold over each
-byte array merges, step by step, the leftmost pair of the least rank. Pieces longer than FOLDED bytes are first
+state merges, step by step, the leftmost pair of the least rank. Pieces longer than FOLDED bytes are first
 split between bytes that no token holds side by side, where no merge can ever join them; what is then
 still longer (one letter thousands of times, say) is merged by a heap, as the fold is quadratic.
 Then ids are joined for each text, and decoding concatenates the tokens' bytes.
@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, small_batches
+from .common import cut, drop, give_back, small_batches
 
 PACK = 11_000_000  # characters whose pieces are told apart together
 SAMPLE, CACHE = 20_000, 300_000  # documents looked at for frequent pieces; most pieces folded ahead
@@ -46,98 +46,110 @@ def merge_pairs(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
 
 
 class PairTable:
-    """Each pair sits in one of two places: (a * m1 + b * m2) mod size for either pair of factors."""
-
-    FACTORS = ((1_000_003, 15_485_863), (32_452_843, 49_979_687))
+    """Every pair as the fold's entry for it, (merged id << BITS) + left id, at places[left id] + right id
+    of one array: the rows of all left ids, shifted until no two entries meet. What a place holds
+    belongs to the pair asked for if its left id does, so a look-up is two array reads."""
 
     def __init__(self, pairs: dict[tuple[int, int], int]) -> None:
-        self.size = 2 * len(pairs) + 101
-        while not self._fill(pairs):
-            self.size = int(self.size * 1.2) + 2
-
-    def _fill(self, pairs: dict[tuple[int, int], int]) -> bool:
-        held: dict[int, tuple[int, int]] = {}
-        for key in pairs:
-            at = self.place(*key, 0)
-            for _ in range(500):
-                held[at], key = key, held.get(at)
-                if key is None:
+        rows: dict[int, list[int]] = {}
+        for a, b in pairs:
+            rows.setdefault(a, []).append(b)
+        self.span = 4 * len(pairs) + 101
+        while not self._fill(rows, pairs):
+            self.span = int(self.span * 1.3) + 2
+
+    def _fill(self, rows: dict[int, list[int]], pairs: dict[tuple[int, int], int]) -> bool:
+        draw = np.random.default_rng(0)
+        n_ids = 1 + max([-1, *(max(key) for key in pairs)])
+        self.places, self.table = np.zeros(n_ids, np.int64), np.full(self.span + n_ids, -1, np.int64)
+        for a in sorted(rows, key=lambda a: (-len(rows[a]), a)):
+            own = np.array(rows[a], np.int64)
+            for tries in (4, 100, 2000):
+                shifts = draw.integers(0, self.span, tries)
+                free = np.flatnonzero((self.table[shifts[:, None] + own] < 0).all(axis=1))
+                if len(free):
                     break
-                at = self.place(*key, 1) if self.place(*key, 0) == at else self.place(*key, 0)
             else:
                 return False
-        self.table = np.full(self.size, -1, np.int64)
-        for at, (a, b) in held.items():
-            self.table[at] = ((a << BITS | b) << BITS) | pairs[a, b]
+            self.places[a] = shifts[free[0]]
+            self.table[self.places[a] + own] = (np.array([pairs[a, b] for b in own.tolist()], np.int64) << BITS) + a
         return True
 
-    def place(self, a: int, b: int, side: int) -> int:
-        m1, m2 = self.FACTORS[side]
-        return (a * m1 + b * m2) % self.size
-
-    def merged(self, table: Column, a: Column, b: Column) -> Column:
-        """The merged id; NONE if the pair doesn't merge."""
-
-        def probe(side: int, other) -> Column:
-            m1, m2 = self.FACTORS[side]
-            entry = F.get(table, ((a * m1 + b * m2) % self.size).cast("int"))
-            return F.when(F.shiftright(entry, BITS) == a * (1 << BITS) + b, entry.bitwiseAND(F.lit(MASK))).otherwise(other)
-
-        return probe(0, probe(1, F.lit(NONE)))
 
-
-def _literal(numbers: np.ndarray) -> Column:
-    """One array literal; sent as a string, which the optimizer folds into the array."""
-    return F.split(F.lit(",".join(map(str, numbers.tolist()))), ",").cast("array<bigint>")
+class Ranks:
+    """What tasks need of the rank map besides itself, as arrays: for a session's plans it is rows'
+    data, as a literal of this size would stay on the driver with every plan that it keeps."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        pairs = PairTable(merge_pairs(ranks))
+        self.places, self.table = pairs.places, pairs.table
+        byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        self.alone = (NONE << BITS) + byte_ids
+        self.two = np.repeat(self.alone, 256)  # entry of a byte before another one
+        for x in range(256):
+            for y in range(256):
+                if (r := ranks.get(bytes([x, y]))) is not None:
+                    self.two[256 * x + y] = (r << BITS) + byte_ids[x]
+
+    def starts(self, pieces: list[bytes]) -> pa.ListArray:
+        """The fold's first state of each piece: a guard, then an entry for each byte."""
+        sizes = np.array([len(x) for x in pieces], np.int64)
+        ends = np.cumsum(sizes + 1)
+        states = np.full(int(ends[-1]) if len(pieces) else 0, (NONE << BITS) + MASK, np.int64)
+        raw = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+        entries = self.two[256 * raw + np.append(raw[1:], 0)] if len(raw) else raw
+        last = np.cumsum(sizes)[sizes > 0] - 1
+        entries[last] = self.alone[raw[last]]
+        guards = np.zeros(len(states), bool)
+        guards[ends - sizes - 1] = True
+        states[~guards] = entries
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(states))
+
+    def columns(self) -> list[pa.Array]:
+        """places and table, one row."""
+        return [_as_row(pa.array(self.places)), _as_row(pa.array(self.table))]
+
+
+def _as_row(x: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
 
 
 def _let(value: Column, body) -> Column:
     """Evaluate value once and name it."""
-    return F.transform(F.array(value), body)[0]
+    return F.aggregate(F.array(F.lit(0)), value, lambda x, _: x, body)
 
 
-def folded_ids(pieces: str, ranks: dict[bytes, int]) -> Column:
-    """array<array<int>> of byte values -> array<array<int>> of token ids.
+def folded_ids(starts: str = "starts", places: str = "places", table: str = "table") -> Column:
+    """array<array<bigint>> of first states -> array<array<int>> of token ids.
 
     The fold's state is one array: for each token, the id that it and the next one merge to
     (NONE: they don't) in the high bits and its own id in the low bits. Its minimum is the
     next merge, and only two entries change. The first entry is no token and merges with none.
     """
-    pairs = PairTable(merge_pairs(ranks))
-    byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
-    alone = (NONE << BITS) + byte_ids
-    two = np.repeat(alone, 256)  # the first entries are looked up by their two bytes at once
-    for x in range(256):
-        for y in range(256):
-            if (r := ranks.get(bytes([x, y]))) is not None:
-                two[256 * x + y] = (r << BITS) + byte_ids[x]
-    pair, last = _literal(two), _literal(alone)
-    guard = F.lit((NONE << BITS) + MASK)
 
     def low(x: Column) -> Column:
         return x.bitwiseAND(F.lit(MASK))
 
-    def fold(piece: Column, table: Column) -> Column:
+    def fold(start: Column, places: Column, table: Column) -> Column:
         def entry(a: Column, b: Column) -> Column:
-            return pairs.merged(table, a, b) * (1 << BITS) + a
+            found = F.get(table, (F.get(places, a.cast("int")) + b).cast("int"))
+            return F.when(low(found) == a, found).otherwise(a + F.lit(NONE << BITS))
 
         def merge(state: Column, least: Column) -> Column:
             new = F.shiftright(least, BITS)
 
-            def at(p: Column) -> Column:  # the place after the merged token's left part, from 0
-                changed = lambda x, i: F.when(i == p - 2, entry(low(x), new)).when(i == p - 1, entry(new, low(F.get(state, p + 1)))).otherwise(x)
-                return F.transform(F.filter(state, lambda x, i: i != p), changed)
+            def at(p: Column) -> Column:  # the place of the merged token's left part, from 1
+                changed = F.array(entry(low(F.get(state, p - 2)), new), entry(new, low(F.get(state, p + 1))))
+                return F.concat(F.slice(state, F.lit(1), p - 2), changed, F.slice(state, p + 2, F.size(state)))
 
             return _let(F.array_position(state, least).cast("int"), at)
 
         def step(state: Column, _: Column) -> Column:
             return _let(F.array_min(state), lambda least: F.when(least >= NONE << BITS, state).otherwise(merge(state, least)))
 
-        start = lambda x, y: F.when(y.isNull(), F.get(last, x)).otherwise(F.get(pair, x * 256 + y))
-        first = F.concat(F.array(guard), F.zip_with(piece, F.slice(piece, F.lit(2), F.greatest(F.size(piece) - 1, F.lit(0))), start))
-        return F.aggregate(F.slice(piece, F.lit(2), F.size(piece)), first, step, lambda state: F.transform(F.slice(state, F.lit(2), F.size(state)), lambda x: low(x).cast("int")))
+        return F.aggregate(F.slice(start, F.lit(3), F.size(start)), start, step, lambda state: F.transform(F.slice(state, F.lit(2), F.size(state)), lambda x: low(x).cast("int")))
 
-    return _let(_literal(pairs.table), lambda table: F.transform(pieces, lambda piece: fold(piece, table)))
+    return _let(F.col(places), lambda p: _let(F.col(table), lambda t: F.transform(starts, lambda start: fold(start, p, t))))
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -203,20 +215,26 @@ def _pieces_to_fold(pattern: str, held):
     return run
 
 
-def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("piece"), pa.array([[list(x)] for x in batch.column("piece").to_pylist()], pa.list_(pa.list_(pa.int32())))], names=["piece", "pieces"])
+def _as_states(of_ranks):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = [x for batch in batches for x in batch.column("piece").to_pylist()]
+        if pieces:
+            own = of_ranks.value
+            yield pa.RecordBatch.from_arrays([_as_row(pa.array(pieces, pa.binary())), _as_row(own.starts(pieces)), *own.columns()], names=["pieces", "starts", "places", "table"])
+
+    return run
 
 
-def folded_ahead(docs: DataFrame, ranks: dict[bytes, int], pattern: str, held, most: int) -> bytes:
-    """An Arrow stream of (piece, ids), packed for the driver: ids of the pieces that most of about SAMPLE documents have, `most` pieces at
+def folded_ahead(docs: DataFrame, of_ranks, pattern: str, held, most: int) -> bytes:
+    """An Arrow stream of (pieces, ids), packed for the driver: ids of the pieces that most of about SAMPLE documents have, `most` pieces at
     most: each is folded once here instead of once in every task. What a task doesn't find
     here it folds itself."""
     share = min(1.0, SAMPLE / max(1, docs.count()))
     sample = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
     counted = sample.mapInArrow(_pieces_to_fold(pattern, held), "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     pieces = cut(counted.where("n > 1").orderBy(F.desc("n"), "piece").limit(most).select("piece").repartition("piece"))
-    rows = pieces.mapInArrow(_as_bytes, "piece binary, pieces array<array<int>>").select("piece", folded_ids("pieces", ranks)[0].alias("ids")).toArrow()
+    rows = pieces.mapInArrow(_as_states(of_ranks), "pieces array<binary>, starts array<array<bigint>>, places array<bigint>, table array<bigint>").select("pieces", folded_ids().alias("ids")).toArrow()
+    drop(pieces)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, rows.schema) as out:
         out.write_table(rows)
@@ -227,13 +245,15 @@ def _ahead_of(stream: bytes) -> dict[bytes, bytes]:
     """piece -> its ids as little-endian unsigned 32-bit integers."""
     found: dict[bytes, bytes] = {}
     for batch in pa.ipc.open_stream(stream):
-        ids = batch.column("ids")
-        flat, offsets = ids.values.to_numpy().astype("<u4").tobytes(), (4 * ids.offsets.to_numpy()).tolist()
-        found.update((p, flat[a:b]) for p, a, b in zip(batch.column("piece").to_pylist(), offsets[:-1], offsets[1:], strict=True))
+        for row in range(batch.num_rows):
+            pieces, ids = batch.column("pieces")[row].values, batch.column("ids")[row].values
+            offsets = ids.offsets.to_numpy()
+            flat = ids.values.to_numpy().astype("<u4").tobytes()
+            found.update((p, flat[a:b]) for p, a, b in zip(pieces.to_pylist(), (4 * offsets[:-1]).tolist(), (4 * offsets[1:]).tolist(), strict=True))
     return found
 
 
-def _packed(pattern: str, held, ahead, size: int):
+def _packed(pattern: str, held, of_ranks, ahead, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, ranks, cached = regex.compile(pattern).findall, held.value, _ahead_of(ahead.value)
         together = side_by_side(ranks)
@@ -267,13 +287,10 @@ def _packed(pattern: str, held, ahead, size: int):
                     at_folded.append(i), bytes_of.append(raw)
                 else:
                     at_known.append(i), known.append(ids), n_known.append(len(ids) // 4)
-            starts = np.concatenate([[0], np.cumsum([len(x) for x in bytes_of])]).astype(np.int32)
-            pieces = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(b"".join(bytes_of), np.uint8).astype(np.int32)))
-            as_row = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             packed = lambda x: pa.array([np.asarray(x, np.uint32).tobytes()], pa.binary())
             return pa.RecordBatch.from_arrays(
-                [as_row(pa.array(docs, pa.int64())), packed([len(x) for x in runs]), pa.array([b"".join(x.tobytes() for x in runs)], pa.binary()), as_row(pieces), packed(at_folded), packed(at_known), pa.array([b"".join(known)], pa.binary()), packed(n_known)],
-                names=["docs", "counts", "runs", "pieces", "at_folded", "at_known", "known", "n_known"],
+                [_as_row(pa.array(docs, pa.int64())), packed([len(x) for x in runs]), pa.array([b"".join(x.tobytes() for x in runs)], pa.binary()), _as_row(of_ranks.value.starts(bytes_of)), *of_ranks.value.columns(), packed(at_folded), packed(at_known), pa.array([b"".join(known)], pa.binary()), packed(n_known)],
+                names=["docs", "counts", "runs", "starts", "places", "table", "at_folded", "at_known", "known", "n_known"],
             )
 
         for batch in batches:
@@ -294,7 +311,7 @@ def _packed(pattern: str, held, ahead, size: int):
     return run
 
 
-_PACK = "docs array<long>, counts binary, runs binary, pieces array<array<int>>, at_folded binary, at_known binary, known binary, n_known binary"
+_PACK = "docs array<long>, counts binary, runs binary, starts array<array<bigint>>, places array<bigint>, table array<bigint>, at_folded binary, at_known binary, known binary, n_known binary"
 
 
 def _joined(held, with_ids: bool):
@@ -344,8 +361,9 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_i
     pass through; other columns are ignored. The rank map must hold all 256 single bytes.
     """
     small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(ranks)
-    ahead = docs.sparkSession.sparkContext.broadcast(folded_ahead(docs, ranks, pattern, held, ahead_of))
-    packs = docs.select("doc_id", "text").mapInArrow(_packed(pattern, held, ahead, pack), _PACK)
-    done = packs.withColumn("encoded", folded_ids("pieces", ranks)).drop("pieces")
+    send = docs.sparkSession.sparkContext.broadcast
+    held, of_ranks = send(ranks), send(Ranks(ranks))
+    ahead = send(folded_ahead(docs, of_ranks, pattern, held, ahead_of))
+    packs = docs.select("doc_id", "text").mapInArrow(_packed(pattern, held, of_ranks, ahead, pack), _PACK)
+    done = packs.withColumn("encoded", folded_ids()).drop("starts", "places", "table")
     return done.mapInArrow(_joined(held, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -153,6 +153,24 @@ def test_bpe_equals_the_library(spark, odd):
     assert bpe.encode_decode(odd, ranks, tokenizers.PATTERN).count() == odd.count()
 
 
+def test_the_rank_map_is_in_no_plan(spark, docs_of):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    done = bpe.encode_decode(docs_of([(1, "plain words", None, None, None, None)]), bpe.read_ranks(tokenizers.path("byte_bpe_50k.tiktoken")), tokenizers.PATTERN)
+    assert done.count() == 1 and len(done._jdf.queryExecution().toString()) < 100_000
+
+
+def test_a_pair_is_found_at_its_place_alone():
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 256, b"abab": 257, b"ba": 258, b"abb": 300}
+    pairs = bpe.merge_pairs(ranks)
+    own = bpe.Ranks(ranks)
+    for a in ranks.values():
+        for b in ranks.values():
+            at = own.places[a] + b if a < len(own.places) else len(own.table)
+            held = own.table[at] if at < len(own.table) else -1
+            assert (held >> bpe.BITS if held & bpe.MASK == a else None) == pairs.get((a, b))
+    assert bpe.Ranks({bytes([i]): i for i in range(256)}).starts([b"", b"ab"]).to_pylist() == [[(bpe.NONE << bpe.BITS) + bpe.MASK], [(bpe.NONE << bpe.BITS) + x for x in (bpe.MASK, 97, 98)]]
+
+
 def test_long_pieces_merge_like_short_ones():
     ranks = {bytes([i]): i for i in range(256)} | {b"ab": 256, b"abab": 257, b"ba": 258}
     assert bpe.apart(b"xababyba", bpe.side_by_side(ranks)) == [b"x", b"abab", b"y", b"ba"] and bpe.apart(b"x", bpe.side_by_side(ranks)) == [b"x"]
