@@ -256,11 +256,11 @@ def _ahead_of(stream: bytes) -> dict[bytes, bytes]:
 def _packed(pattern: str, held, of_ranks, ahead, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, ranks, cached = regex.compile(pattern).findall, held.value, _ahead_of(ahead.value)
+        cached.update(zip(ranks, map(struct.Struct("<I").pack, ranks.values()), strict=True))
         together = side_by_side(ranks)
-        pack_one = struct.Struct("<I").pack
         docs, runs, numbers, chars = [], [], _Numbers(), 0
 
-        def in_parts() -> None:
+        def in_parts() -> dict[int, list[int]]:
             """Long pieces become their parts, in numbers and in runs."""
             parts = {i: [numbers[x] for x in apart(p.encode(), together)] for p, i in [x for x in numbers.items() if len(x[0]) > FOLDED // 4] if len(p.encode()) > FOLDED and p.encode() not in ranks}
             if parts:
@@ -269,24 +269,22 @@ def _packed(pattern: str, held, of_ranks, ahead, size: int):
                 for k, run in enumerate(runs):
                     if long[run].any():
                         runs[k] = np.concatenate([parts[i] if i in parts else [i] for i in run.tolist()]).astype(np.uint32)
+            return parts
 
         def pack() -> pa.RecordBatch:
-            in_parts()
-            known, n_known, at_known, at_folded, bytes_of = [], [], [], [], []
-            used = np.zeros(len(numbers), bool)
-            for run in runs:
-                used[run] = True
-            for i, piece in enumerate(numbers):
-                if not used[i]:
-                    at_known.append(i), known.append(b""), n_known.append(0)
-                    continue
-                raw = piece if isinstance(piece, bytes) else piece.encode()
-                whole = ranks.get(raw)
-                ids = pack_one(whole) if whole is not None else np.asarray(merge_long(raw, ranks), "<u4").tobytes() if len(raw) > FOLDED else cached.get(raw)
-                if ids is None:
-                    at_folded.append(i), bytes_of.append(raw)
-                else:
-                    at_known.append(i), known.append(ids), n_known.append(len(ids) // 4)
+            parts = in_parts()
+            raw = [x if isinstance(x, bytes) else x.encode() for x in numbers]
+            ids = list(map(cached.get, raw))
+            for i in parts:
+                ids[i] = b""
+            at_folded = [i for i, x in enumerate(ids) if x is None]
+            for i in [i for i in at_folded if len(raw[i]) > FOLDED]:
+                ids[i] = np.asarray(merge_long(raw[i], ranks), "<u4").tobytes()
+            at_folded = [i for i in at_folded if ids[i] is None]
+            bytes_of = [raw[i] for i in at_folded]
+            at_known = [i for i, x in enumerate(ids) if x is not None]
+            known = [x for x in ids if x is not None]
+            n_known = np.fromiter(map(len, known), np.uint32, len(known)) // 4
             packed = lambda x: pa.array([np.asarray(x, np.uint32).tobytes()], pa.binary())
             return pa.RecordBatch.from_arrays(
                 [_as_row(pa.array(docs, pa.int64())), packed([len(x) for x in runs]), pa.array([b"".join(x.tobytes() for x in runs)], pa.binary()), _as_row(of_ranks.value.starts(bytes_of)), *of_ranks.value.columns(), packed(at_folded), packed(at_known), pa.array([b"".join(known)], pa.binary()), packed(n_known)],

@@ -171,6 +171,14 @@ def test_a_pair_is_found_at_its_place_alone():
     assert bpe.Ranks({bytes([i]): i for i in range(256)}).starts([b"", b"ab"]).to_pylist() == [[(bpe.NONE << bpe.BITS) + bpe.MASK], [(bpe.NONE << bpe.BITS) + x for x in (bpe.MASK, 97, 98)]]
 
 
+def test_a_step_of_the_fold_runs_no_lambda_over_its_state(spark):
+    starts = [[(bpe.NONE << bpe.BITS) + bpe.MASK, (256 << bpe.BITS) + 97, (bpe.NONE << bpe.BITS) + 98]]
+    row = spark.createDataFrame([([*starts, *starts], [0] * 97 + [5], [-1] * 200)], "starts array<array<bigint>>, places array<bigint>, table array<bigint>")
+    folded = row.select(bpe.folded_ids().alias("ids"))
+    plan = folded._jdf.queryExecution().analyzed().toString()
+    assert folded.first()["ids"] == [[256], [256]] and "filter(" not in plan and "zip_with(" not in plan
+
+
 def test_long_pieces_merge_like_short_ones():
     ranks = {bytes([i]): i for i in range(256)} | {b"ab": 256, b"abab": 257, b"ba": 258}
     assert bpe.apart(b"xababyba", bpe.side_by_side(ranks)) == [b"x", b"abab", b"y", b"ba"] and bpe.apart(b"x", bpe.side_by_side(ranks)) == [b"x"]
