@@ -221,6 +221,8 @@ def _as_states(of_ranks):
         if pieces:
             own = of_ranks.value
             yield pa.RecordBatch.from_arrays([_as_row(pa.array(pieces, pa.binary())), _as_row(own.starts(pieces)), *own.columns()], names=["pieces", "starts", "places", "table"])
+        del pieces
+        give_back()
 
     return run
 
