@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import bpe, decontam, language_mix, lsh_forest, passages
-from lattica.llm.common import cut, free_name, remainder, table
+from lattica.llm.common import cut, free_name, give_back_heaps, remainder, table
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -37,6 +37,7 @@ def _texts(docs: DataFrame, key: str) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null text or no letters) go; so do those whose mixture
     gives no language at least 0.2. The lang column stays as it is."""
+    give_back_heaps(spark)
     keyed, key = _keyed(docs)
     model = language_mix.fit(docs.select("text", "lang").where(F.coalesce(remainder("doc_id", 4) != 2, F.lit(True))))
     return _without(keyed, key, language_mix.identify(_texts(keyed, key), model).where("lang_pred = 'und' or score < 0.2"))
@@ -45,6 +46,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked at a similarity of 0.8 over five-word shingles the row of the smallest key
     stays; rows with null or blank texts are in no group."""
+    give_back_heaps(spark)
     keyed, key = _keyed(docs)
     return _without(keyed, key, lsh_forest.near_duplicates(_texts(keyed, key), width=5, percent=80).where("not kept"))
 
@@ -52,16 +54,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a row of smaller key has go from the text, and so does a row of which no word is
     left; n_chars follows. Null texts stay."""
+    give_back_heaps(spark)
     keyed, key = _keyed(docs)
     own = free_name(keyed.columns, "id")
     named = keyed.select(*(F.col(f"`{c}`").alias("doc_id" if c == key else own if c.lower() == "doc_id" else c) for c in keyed.columns))
-    left = passages.remove(named, passages.repeated(_texts(keyed, key)))
+    found = passages.repeated(_texts(keyed, key))
+    give_back_heaps(spark)
+    left = passages.remove(named, found)
     column = lambda c: F.length("text").cast(left.schema[c].dataType) if c.lower() == "n_chars" else F.col(f"`{own if c.lower() == 'doc_id' else c}`")
     return left.select(*(column(c).alias(c) for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    give_back_heaps(spark)
     keyed, key = _keyed(docs)
     return _without(keyed, key, decontam.contaminated(_texts(keyed, key), table(spark, sf_dir, "benchmark")))
 
@@ -70,6 +76,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each remaining row's token ids, their count, and digests of ids and of what they decode to."""
     import public_tokenizers
 
+    give_back_heaps(spark)
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.encode_decode(docs, ranks, public_tokenizers.PATTERN, with_ids=True, pack=5_000_000, ahead_of=100_000)
 

@@ -419,3 +419,15 @@ def test_pipeline_stages(spark):
         before, docs = docs.count(), corpus_pipeline.cut(stage(spark, docs, SF))
         assert 0 < docs.count() <= before
         assert k == len(corpus_pipeline.STAGES) - 1 or docs.columns == columns
+
+
+def test_pipeline_stages_begin_with_heaps_given_back(spark, docs_of):
+    import corpus_pipeline
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Young" not in b.getName() and b.getName() != "Copy")
+    docs = docs_of([(1, "one two three four five six", "en", "s", 27, 1), (2, "seven eight nine ten eleven", "en", "s", 27, 1)])
+    for _, stage in corpus_pipeline.STAGES:
+        before = full()
+        stage(spark, docs, SF)
+        assert full() > before
